@@ -5,11 +5,11 @@ cut, so equal passages are cut alike wherever they stand. Each distinct chunk is
 encoded once and kept, ``CACHE_CHUNKS`` at most per Python worker, which Spark
 reuses for many tasks; a text's ids are those of its chunks in a row. A new chunk
 is made of words in the same way: each distinct word is encoded once and kept,
-``CACHE_WORDS`` at most.
+``CACHE_WORDS`` at most, by its 64-bit hash.
 
 A join is exact where no token and no normalisation can reach over it: the right
-side begins with a space or line end and the left side ends with no white space.
-Long runs without one are cut
+side begins with a space or line end and the left side ends with no white space
+(words also part at stops). Long runs without one are cut
 by the rolling hash alone, and such joins are repaired: both sides are re-encoded
 as one, growing until both ends are exact joins, so that the ids always agree
 with those of the whole text.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from array import array
 from itertools import chain
 
@@ -31,7 +30,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from orrery.llm.text import code_points, map_texts
+from orrery.llm.text import code_points, map_texts, span_hashes
 
 WINDOW = 8
 #: One in so many exact joins cuts; about 6 times as many characters to a chunk.
@@ -39,16 +38,98 @@ CUT_ONE_IN = 64
 #: Runs without a cut that are longer than this are cut anywhere, and repaired.
 LONGEST = 4096
 CACHE_CHUNKS = 30_000
-CACHE_WORDS = 700_000
-#: Pieces of a text with blanks in a row: each begins with its blanks.
-SLOW = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
+CACHE_WORDS = 1_200_000
+#: Longer words are encoded whenever they occur.
+LONG_WORD = 64
+#: So many new words are encoded in one go.
+TOGETHER = 500
+STOPS = np.array([ord(c) for c in ".,;:!?"], np.uint32)
+BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+class WordTable:
+    """Ids by 64-bit hash of a word, in flat arrays: open addressing, then a pool of ids."""
+
+    BITS = 22
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.row = np.zeros(1 << self.BITS, np.int32)
+        self.edges = np.zeros(1 << 16, np.int64)  # begin of each row's ids in the pool, and the end
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.row[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Hold ids of new, distinct hashes."""
+        data = np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        used = int(self.edges[self.n])
+        if used + len(data) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(data)), np.uint32)])
+        if self.n + len(h) + 1 > len(self.edges):
+            self.edges = np.concatenate([self.edges, np.zeros(max(len(self.edges), len(h)), np.int64)])
+        self.pool[used : used + len(data)] = data
+        self.edges[self.n + 1 : self.n + 1 + len(h)] = used + ends
+        slot, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            placed = free & (self.keys[slot] == h[todo])
+            self.row[slot[placed]] = self.n + todo[placed]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.BITS) - 1)
+        self.n += len(h)
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows laid end to end, and how many each has."""
+        size = self.edges[rows + 1] - self.edges[rows]
+        place = np.repeat(self.edges[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.pool[place], size
+
+
+def word_cuts(cp: np.ndarray) -> np.ndarray:
+    """Places where a word begins by an exact join.
+
+    Before a space or line end that follows no blank, and between a plain letter
+    or digit and a stop: every pattern of these tokenizers parts them there.
+    """
+    space = (cp == 32) | (cp == 10)
+    cut = space.copy()
+    cut[1:] &= ~blanks(cp)[:-1]
+    plain = ((cp >= 48) & (cp <= 57)) | ((cp >= 97) & (cp <= 122)) | ((cp >= 65) & (cp <= 90)) | ((cp >= 0xC0) & (cp <= 0x24F) & (cp != 0xD7) & (cp != 0xF7) & (cp != 0x130))
+    stop = (cp == 46) | (cp == 44) | (cp == 58) | (cp == 59) | (cp == 33) | (cp == 63)
+    cut[1:] |= (stop[1:] & plain[:-1]) | (plain[1:] & stop[:-1])
+    return cut
+
+
+def blanks(cp: np.ndarray) -> np.ndarray:
+    """Any character that a tokenizer might take for white space."""
+    out = (cp == 32) | ((cp >= 9) & (cp <= 13)) | ((cp >= 28) & (cp <= 31)) | (cp == 0x85) | (cp == 0xA0)
+    if len(cp) and cp.max() >= 0x1680:
+        out |= np.isin(cp, BLANKS)
+    return out
+
+
 class ChunkEncoder:
     """A tokenizer with its words' and chunks' ids; one per file and Python worker.
 
-    Ids are kept as bytes of little-endian unsigned 32-bit integers.
+    Ids are kept as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -59,8 +140,10 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunks: dict[str, bytes] = {}
-        #: by word without its space before; False if the word can't stand for itself
-        self.words: dict[str, bytes | bool] = {}
+        self.words = WordTable()
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.opens[i] = token.startswith("\u0120")
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -69,50 +152,74 @@ class ChunkEncoder:
         return _encoders[path]
 
     def plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, encoded on its own."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def known(self, words: list[str]) -> list[bytes | bool]:
-        """Ids of a space and each word; of words that begin with a line end, as they are."""
-        got = list(map(self.words.get, words))
-        missing = list({w for w, g in zip(words, got, strict=True) if g is None})
-        if missing:
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
-            alone = [w for w in missing if w and not w[-1].isspace()]
-            self.words.update(dict.fromkeys(missing, False))
-            self.words.update(zip(alone, self.plain([w if w[0] == "\n" else " " + w for w in alone]), strict=True))
-            fresh = {w: self.words[w] for w in missing}
-            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        return got
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """As ``plain``, for words that hold no space but the first character.
+
+        In byte-level vocabularies a token begins with the space's sign exactly
+        where such a word begins, so many are encoded in one go and told apart.
+        """
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(some):
+                return self.plain(words)
+            data, edges = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            out += [data[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        alone = [w[0] == " " and " " not in w[1:] and not w[-1].isspace() for w in words]
+        first = iter(self.spaced([w for w, a in zip(words, alone, strict=True) if a]))
+        other = iter(self.plain([w for w, a in zip(words, alone, strict=True) if not a]))
+        return [next(first if a else other) for a in alone]
 
     def by_words(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, joined from those of its words."""
-        words: list[str] = []
-        edges = [0]
-        bare: list[str] = []
-        for t in texts:
-            if " \n" in t:
-                own = [""]  # blanks in a row: not alone
-            else:
-                t = t.replace("\n", " \n")
-                first, _, _ = t.partition(" ")
-                own = t[len(first) + 1 :].split(" ") if len(t) > len(first) else []
-                bare.append(first)
-            words += own
-            edges.append(len(words))
-        got = self.known(words)
-        heads = dict.fromkeys(bare)
-        heads.update(zip(heads, self.plain(list(heads)), strict=True))
-        heads[""] = b""
-        out = []
-        for t, a, b in zip(texts, edges, edges[1:], strict=False):
-            own = got[a:b]
-            first = t.partition(" ")[0].partition("\n")[0]
-            if False in own or first[-1:].isspace():
-                out.append(b"".join(self.plain(SLOW.findall(t))))
+        if not texts:
+            return []
+        cp, begins = code_points(texts)
+        cut = word_cuts(cp)
+        cut[begins[:-1]] = True
+        cut[begins[1:] - 1] = True  # the line end behind each text
+        at = np.flatnonzero(cut)
+        end = np.append(at[1:], len(cp))
+        own = ~np.isin(at, begins[1:] - 1, assume_unique=True)
+        at, end = at[own], end[own]
+        h = span_hashes(cp, at, end) | np.uint64(1)
+        row = self.words.find(h)
+        long = end - at > LONG_WORD
+        new, where = np.unique(h[(row < 0) & ~long], return_index=True)
+        joined = "\n".join(texts)
+        if len(new):
+            if self.words.n + len(new) > CACHE_WORDS:
+                self.words.clear()
+                new, where = np.unique(h[~long], return_index=True)
+                source = np.flatnonzero(~long)[where]
             else:
-                out.append(heads[first] + b"".join(own))
-        return out
+                source = np.flatnonzero((row < 0) & ~long)[where]
+            self.words.add(new, self.encoded([joined[a:b] for a, b in zip(at[source].tolist(), end[source].tolist(), strict=True)]))
+            row = self.words.find(h)
+        size = np.zeros(len(at), np.int64)
+        ids, size[~long] = self.words.ids(row[~long])
+        text_of = np.searchsorted(begins, at, side="right") - 1
+        edges = np.concatenate([[0], np.cumsum(np.bincount(text_of, size, len(texts)).astype(np.int64))])
+        data = ids.tobytes()
+        if not long.any():
+            return [data[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        places = np.cumsum(size) * 4
+        done = [4 * x for x in edges.tolist()]
+        far = np.flatnonzero(long)
+        for i, own_ids in zip(far.tolist(), self.plain([joined[at[i] : end[i]] for i in far]), strict=True):
+            t = int(text_of[i])
+            out[t] += [data[done[t] : places[i]], own_ids]
+            done[t] = int(places[i])
+        return [b"".join([*parts, data[x : 4 * y]]) for parts, x, y in zip(out, done, edges[1:].tolist(), strict=False)]
 
     def learn(self, chunks: list[str]) -> None:
         """Hold the ids of all ``chunks``, encoding those that are new."""
@@ -133,16 +240,12 @@ class ChunkEncoder:
 def cut_points(cp: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Positions where chunks begin, and whether the join there is exact."""
     space = (cp == 32) | (cp == 10)
-    # any character that a tokenizer might take for white space
-    blank = space | ((cp >= 9) & (cp <= 13)) | ((cp >= 28) & (cp <= 31)) | (cp == 0x85) | (cp == 0xA0)
-    if len(cp) and cp.max() >= 0x1680:
-        blank |= np.isin(cp, BLANKS)
     rolled = np.zeros(len(cp), np.uint32)
     for k in range(WINDOW, 0, -1):
         rolled[k:] = rolled[k:] * np.uint32(0x9E3779B1) + cp[:-k]
     rolled = (rolled * np.uint32(0x85EBCA6B)) >> np.uint32(16)
     exact = space.copy()
-    exact[1:] &= ~blank[:-1]
+    exact[1:] &= ~blanks(cp)[:-1]
     exact[:1] = False
     at = np.flatnonzero(exact & (rolled % CUT_ONE_IN == 7))
     edges = np.concatenate([[0], at, [len(cp)]])
@@ -157,9 +260,6 @@ def cut_points(cp: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.n
     return cuts, exact[cuts]
 
 
-BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-
-
 def chunks_of(texts: list[str], longest: int = LONGEST) -> list[list[str]]:
     """Chunks of each text; a join that is not exact is repaired, so that one is left out."""
     cp, begins = code_points(texts)
