@@ -39,6 +39,8 @@ from orrery.llm.shared import checkpointed
 
 BLOCK = 256
 RELABEL, MERGE, INSERT = 2.0, 1.0, 3.0
+#: More for making a system message of another.
+TO_SYSTEM = 3.0
 ROLES = ("", "system", "user", "assistant")
 ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 #: From each state (0: begin) the roles that a next message may have.
@@ -64,7 +66,7 @@ def step(role: int) -> tuple[np.ndarray, dict[tuple[int, int], tuple[str, int, f
     cost, how = np.full((4, 4), FAR), {}
 
     def offer(a: int, b: int, price: float, action: str, inserted: int) -> None:
-        price += RELABEL * (role != b)
+        price += (RELABEL + TO_SYSTEM * (b == 1)) * (role != b)
         if price * SCALE < cost[a, b]:
             cost[a, b] = int(price * SCALE)
             how[a, b] = (action, inserted, price)
