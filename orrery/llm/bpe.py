@@ -37,8 +37,8 @@ WINDOW = 8
 CUT_ONE_IN = 64
 #: Runs without a cut that are longer than this are cut anywhere, and repaired.
 LONGEST = 4096
-CACHE_CHUNKS = 30_000
-CACHE_WORDS = 1_200_000
+CACHE_CHUNKS = 10_000
+CACHE_WORDS = 800_000
 #: Longer words are encoded whenever they occur.
 LONG_WORD = 64
 #: So many new words are encoded in one go.
@@ -51,7 +51,7 @@ _encoders: dict[str, "ChunkEncoder"] = {}
 class WordTable:
     """Ids by 64-bit hash of a word, in flat arrays: open addressing, then a pool of ids."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self):
         self.clear()

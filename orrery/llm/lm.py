@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shared import checkpointed, drop
-from orrery.llm.text import grouped
+from orrery.llm.text import grouped, small_batches
 
 HEAD_WORDS = 200_000
 FLUSH_WORDS = 250_000
@@ -249,6 +249,7 @@ def head_bound(words: DataFrame, limit: int) -> int:
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", lattice: Lattice | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(docs.sparkSession)
     counted = checkpointed(word_counts(docs, key, text), "counts")
     n_docs = docs.where(remainder(key) != 0).count()
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()

@@ -48,7 +48,6 @@ ROUNDS = 4
 #: Darts to throw so that each coordinate gets one, but for about exp(-2) of the texts' misses.
 DARTS = COORDS * (log(COORDS) + 2)
 POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(18)])
-GROUP = 1 << 19
 
 
 def regions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +142,7 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
         return {key: ids, "whole": whole[has].view(np.int64), "buckets": lists}
 
-    return map_texts(docs.where(F.col(key).isNotNull()), scan, f"`{key}` {dict(docs.dtypes)[key]}, whole long, buckets array<long>", [key], text, GROUP)
+    return map_texts(docs.where(F.col(key).isNotNull()), scan, f"`{key}` {dict(docs.dtypes)[key]}, whole long, buckets array<long>", [key], text)
 
 
 def compared(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,7 +158,7 @@ def compared(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFram
 
     rows = docs.select(key, text).join(sized(wanted), key, "left_semi")
     kind = dict(docs.dtypes)[key]
-    found = map_texts(rows, cells, f"node {kind}, cells array<int>", [key], text, GROUP)
+    found = map_texts(rows, cells, f"node {kind}, cells array<int>", [key], text)
     # a repeated key has one node's text: any of its rows that agrees with the node does
     sets = checkpointed(found.dropDuplicates(["node"]) if _repeats(docs, key) else found, "cells")
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")

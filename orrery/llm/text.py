@@ -8,28 +8,46 @@ bounds the memory of a Python worker by the longest single text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long.
+BATCH_ROWS = 1_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows, unless the session has a value of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def grouped(texts: list[str], chars: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Yield (from, to) ranges of ``texts`` of at most ``chars`` characters each."""
+    """Yield (from, to) ranges of ``texts`` of about ``chars`` characters; each text counts as 256 more."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > chars:
+        if held and held + len(t) + 256 > chars:
             yield begin, i
             begin, held = i, 0
-        held += len(t) + 1
+        held += len(t) + 256
     if begin < len(texts):
         yield begin, len(texts)
 
@@ -47,6 +65,7 @@ def map_texts(
     Only ``columns`` and the text are read. ``fn`` returns one value list per
     column of ``schema``; it may return any number of rows.
     """
+    small_batches(df.sparkSession)
     chosen = df.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches):
@@ -58,6 +77,7 @@ def map_texts(
                 out = fn({n: c[a:b] for n, c in zip(names, cols, strict=True)}, texts[a:b])
                 arrays = [pa.array(v, type=t) if not isinstance(v, pa.Array) else v for v, t in zip(out.values(), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -68,6 +88,7 @@ def map_texts(
 
 def filter_texts(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str = "text", chars: int = GROUP_CHARS) -> DataFrame:
     """Rows of ``df`` for whose text (null: empty) ``fn`` gives True; all columns stay as they are."""
+    small_batches(df.sparkSession)
     place = df.columns.index(text)
 
     def run(batches):
@@ -75,6 +96,7 @@ def filter_texts(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str
             texts = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in grouped(texts, chars):
                 yield batch.slice(a, b - a).filter(pa.array(fn(texts[a:b])))
+        release()
 
     return df.mapInArrow(run, df.schema)
 

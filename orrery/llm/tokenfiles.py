@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.bpe import ChunkEncoder
 from orrery.llm.shared import new_path
-from orrery.llm.text import grouped
+from orrery.llm.text import grouped, small_batches
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -38,6 +38,7 @@ MAX_BROADCAST_PARTS = 100_000
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), end_id: int | None = END_ID) -> None:
     """Write ``docs`` as token files under ``path``, in ascending order of ``key``."""
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     rows = docs.select(key, *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("__place"))
     rows = rows.repartitionByRange(key, "__place").sortWithinPartitions(key, "__place")
