@@ -13,9 +13,13 @@ darts and moves none.
 Signatures are joined by ``BANDS`` bands of ``COORDS // BANDS`` coordinates: at a
 similarity of 0.8 a pair meets in no band with probability 6e-5. Texts that are
 equal word by word are one node from the start. In each bucket the node with the
-most companions leads and is compared with the others (never all pairs); rounds
-with other leaders follow for buckets that still hold several components. Each
-candidate is verified by its exact weighted Jaccard similarity.
+most companions leads and is compared with the others; rounds with other leaders follow
+for buckets that still hold several components, while they link enough. What such
+buckets hold then is joined by prefixes (``crossing``): regions are ranked by how
+rare they are, and two texts similar enough share one among the first of both, so
+no pair of different components is left out, and texts that share only what is
+common never meet. Each candidate is verified by its exact weighted Jaccard
+similarity.
 
 Components are found by label propagation over tables in the shared checkpoint
 folder. Groups are only ever counted, led by a maximum, or joined to one row per
@@ -44,7 +48,11 @@ SHINGLE = 5
 SIMILAR = 0.8
 COORDS = 192
 BANDS = 32
-ROUNDS = 4
+#: Leader rounds go on while they link this share of the pairs they test.
+FRUITFUL = 0.1
+#: Counters of regions, by hash; sizes of texts that meet in prefixes are told apart by this ratio.
+COUNTERS = 1 << 22
+STEP = 1.05
 #: Darts to throw so that each coordinate gets one, but for about exp(-2) of the texts' misses.
 DARTS = COORDS * (log(COORDS) + 2)
 POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(18)])
@@ -145,28 +153,106 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_texts(docs.where(F.col(key).isNotNull()), scan, f"`{key}` {dict(docs.dtypes)[key]}, whole long, buckets array<long>", [key], text)
 
 
-def compared(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose exact similarity is at least SIMILAR."""
-    wanted = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "wanted")
+def cell_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """node, cells (its distinct regions by 32 bits of hash) of the texts whose keys are in ``wanted``."""
 
     def cells(cols, texts):
         whose, region, _ = regions(texts)
-        low = (region >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        order = np.argsort(whose, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(texts)))]).astype(np.int32)
-        return {"node": cols[key], "cells": pa.ListArray.from_arrays(pa.array(ends), pa.array(low[order]))}
+        both = np.unique((whose.astype(np.uint64) << np.uint64(32)) | (region >> np.uint64(32)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts)))]).astype(np.int32)
+        return {"node": cols[key], "cells": pa.ListArray.from_arrays(pa.array(ends), pa.array(both.astype(np.uint32).view(np.int32)))}
 
     rows = docs.select(key, text).join(sized(wanted), key, "left_semi")
     kind = dict(docs.dtypes)[key]
     found = map_texts(rows, cells, f"node {kind}, cells array<int>", [key], text)
     # a repeated key has one node's text: any of its rows that agrees with the node does
-    sets = checkpointed(found.dropDuplicates(["node"]) if _repeats(docs, key) else found, "cells")
+    return checkpointed(found.dropDuplicates(["node"]) if _repeats(docs, key) else found, "cells")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, key: str, text: str, sets: DataFrame | None = None) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose exact similarity is at least SIMILAR."""
+    made = []
+    if sets is None:
+        wanted = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "wanted")
+        sets = cell_sets(docs, wanted, key, text)
+        made = [wanted, sets]
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
     both = one.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
     shared = F.size(F.array_intersect("cells_a", "cells_b"))
-    total = F.size(F.array_distinct("cells_a")) + F.size(F.array_distinct("cells_b")) - shared
+    total = F.size("cells_a") + F.size("cells_b") - shared
     out = checkpointed(both.where(shared >= SIMILAR * total).select("a", "b"), "links")
-    drop(wanted, sets)
+    drop(*made)
+    return out
+
+
+def least_shared(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
+    """How many elements sets of ``n`` and ``m`` share at least if they are similar."""
+    return np.ceil(SIMILAR / (1 + SIMILAR) * (n + m) - 1e-9).astype(np.int64)
+
+
+def size_class(n: np.ndarray | int) -> np.ndarray:
+    return (np.log(n) / np.log(STEP)).astype(np.int64)
+
+
+def prefix_rows(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, place, side) of one set: the cells by which a similar set of each size class meets it.
+
+    Two sets that share k of their elements share one among the first n - k + 1 of
+    both, in any order; here the rarest come first. Side 0 meets side 1. Cells that
+    occur once among all sets are left out.
+    """
+    n = len(cells)
+    rarity = counts[cells.view(np.uint32) % COUNTERS]
+    order = np.lexsort((mix(cells.view(np.uint32).astype(np.uint64)), rarity))
+    h, rarity = mix(cells.view(np.uint32)[order].astype(np.uint64)), rarity[order]
+    low, high = int(np.ceil(SIMILAR * n - 1e-9)), int(n / SIMILAR + 1e-9)
+    own = int(size_class(n))
+    out = []
+    for other in range(int(size_class(low)), int(size_class(high)) + 1):
+        length = n - int(least_shared(n, max(low, int(STEP**other - 1e-6)))) + 1
+        place = np.flatnonzero(rarity[: max(0, length)] > 1)
+        bucket = mix(h[place] + np.uint64(min(own, other) * 65_537 + max(own, other) + 1) * BASE)
+        out += [(bucket, place, np.full(len(place), side)) for side in (0, 1) if (other >= own, other <= own)[side]]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b) of different labels that may be similar: no similar pair is left out."""
+    kind = dict(sets.dtypes)["node"]
+
+    def count(batches):
+        for batch in batches:
+            slot, n = np.unique(batch.column(0).flatten().to_numpy().view(np.uint32) % COUNTERS, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    # a table of fixed size, whatever the input
+    found = sets.select("cells").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                made = [prefix_rows(x.values.to_numpy(), sent.value) for x in part.column(2)]
+                each = np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made])
+                bucket, place, side = (np.concatenate(x) for x in zip(*made, strict=True))
+                n = np.array([len(x.values) for x in part.column(2)])[each]
+                own = [c.take(pa.array(each)) for c in part.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(bucket.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(side.astype(np.int32))], names=["node", "label", "bucket", "place", "n", "side"])
+
+    known = sets.join(labels, "node").select("node", "label", "cells")
+    met = checkpointed(known.mapInArrow(rows, f"node {kind}, label {kind}, bucket long, place int, n int, side int"), "prefixes")
+    # pairs of labels first, so that a large component's texts don't meet each other
+    ends = [met.where(F.col("side") == s).select("bucket", F.col("label").alias(f"label_{s}")).distinct() for s in (0, 1)]
+    meetings = checkpointed(ends[0].join(ends[1], "bucket").where("label_0 != label_1"), "meetings")
+    sides = [met.where(F.col("side") == s).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "node", "place", "n")]) for s in (0, 1)]
+    both = meetings.join(sides[0], ["bucket", "label_0"]).join(sides[1], ["bucket", "label_1"])
+    rest = F.least(F.col("n_0") - F.col("place_0"), F.col("n_1") - F.col("place_1"))
+    both = both.where(rest >= F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n_0") + F.col("n_1")) - F.lit(1e-9)))
+    out = checkpointed(both.select(F.least("node_0", "node_1").alias("a"), F.greatest("node_0", "node_1").alias("b")).distinct(), "pairs")
+    drop(met, meetings)
     return out
 
 
@@ -207,8 +293,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     drop(entries, sizes, shared, degree)
 
     links = tested = label = None
-    for turn in range(ROUNDS):
-        entry = ranked if label is None else checkpointed(ranked.join(label, "node", "left").select("bucket", "node", "degree", F.coalesce("label", "node").alias("label")), "labelled")
+    turn = 0
+    while True:
+        entry = ranked if label is None else labelled(ranked, label)
         order = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", "bucket", F.lit(turn)), F.col("node"))
         lead = [F.max(order).alias("lead")] + ([] if label is None else [F.max_by("label", order).alias("lead_label"), F.min("label").alias("lo"), F.max("label").alias("hi")])
         leaders = entry.groupBy("bucket").agg(*lead)
@@ -222,12 +309,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs, "pairs")
-        if not pairs.limit(1).count():
+        n_tested = pairs.count()
+        n_found = 0
+        if n_tested:
+            found = compared(docs, pairs, key, text)
+            n_found = found.count()
+            tested = pairs if tested is None else tested.union(pairs)
+        if n_found:
+            links = found if links is None else checkpointed(links.union(found), "links")
+            label = components(links)
+        if n_found <= FRUITFUL * n_tested:
             break
-        found = compared(docs, pairs, key, text)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else checkpointed(links.union(found), "links")
-        label = components(links)
+        turn += 1
+    if tested is not None:
+        # the rest at once: all that buckets of several components hold
+        entry = labelled(ranked, label)
+        split = entry.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+        left = checkpointed(entry.join(split, "bucket", "left_semi").select("node", "label").distinct(), "left")
+        sets = cell_sets(docs, left.select(F.col("node").alias(key)), key, text)
+        found = compared(docs, crossing(sets, left).join(tested, ["a", "b"], "left_anti"), key, text, sets)
+        if found.limit(1).count():
+            links = found if links is None else checkpointed(links.union(found), "links")
+            label = components(links)
+        drop(sets)
     named = nodes if label is None else nodes.join(label, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
     named = checkpointed(named.select("whole", F.col("node").alias("class_id")), "classes")
     grouped = scan.select(key, "whole").join(named, "whole").select(key, "class_id")
@@ -235,6 +339,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return grouped.union(rest)
 
 
+def labelled(ranked: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``ranked`` with each node's component."""
+    if label is None:
+        return ranked.withColumn("label", F.col("node"))
+    return checkpointed(ranked.join(label, "node", "left").select("bucket", "node", "degree", F.coalesce("label", "node").alias("label")), "labelled")
+
+
 def without_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows that form no group: a null key, or no letter or digit in the text."""
     kind = dict(docs.dtypes)[key]

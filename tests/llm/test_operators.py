@@ -153,6 +153,30 @@ def test_hot_group_of_near_copies(spark):
     assert {r[0] for r in got.select("class_id").collect()} == {0}
 
 
+def test_pairs_within_a_template_group(spark):
+    template, n = prose(88).split(), 600
+    copies = [template + [f"own{i}w{k}" for k in range(12)] for i in range(n)]
+    # each of these is similar to one other text of the group
+    copies += [copies[i][:90] + [f"new{i}w{k}" for k in range(10)] for i in range(0, n, 10)]
+    x, y, z = (cells(" ".join(copies[i])) for i in (0, n, 1))
+    assert len(x & y) >= 0.8 * len(x | y) and len(x & z) < 0.8 * len(x | z) and len(y & z) < 0.8 * len(y | z)
+    got = {r[0]: r[1] for r in neardup.op3(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")).collect()}
+    assert got == {i: i if i < n else 10 * (i - n) for i in range(len(copies))}
+
+
+def test_prefix_join_leaves_out_no_similar_pair(spark):
+    draw, sets = np.random.default_rng(8), []
+    for i in range(120):
+        base = draw.integers(0, 1 << 31, int(draw.integers(1, 60))) if i % 6 == 0 else base
+        keep = base[draw.random(len(base)) < draw.choice([0.85, 0.95, 1.0])]
+        sets.append(set(map(int, keep)) | set(map(int, draw.integers(0, 1 << 31, int(draw.integers(0, 4))))) or {i})
+    nodes = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, cells array<int>")
+    labels = spark.createDataFrame([(i, i % 50) for i in range(len(sets))], "node long, label long")
+    pairs = {tuple(r) for r in neardup.crossing(nodes, labels).collect()}
+    similar = {(i, j) for i, j in combinations(range(len(sets)), 2) if i % 50 != j % 50 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 20 and similar <= pairs and all(i % 50 != j % 50 for i, j in pairs)
+
+
 def test_licences(docs, empty):
     assert licences.evaluate("MIT AND (Apache-2.0 OR GPL-3.0)") == ("mit and (apache-2.0 or gpl-3.0)", ["mit", "apache-2.0", "gpl-3.0"], True)
     assert licences.evaluate("GPL-2.0 WITH Classpath OR MIT")[2] and not licences.evaluate("GPL-3.0 AND MIT")[2]
