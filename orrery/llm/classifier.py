@@ -3,14 +3,18 @@
 Two views of a document: its text (hashed character pairs, and how words repeat)
 and its page metadata (source language and length, layout of lines, shares of
 character classes). A ridge-penalised logistic regression per view is fitted on
-labelled rows; over ``ROUNDS`` rounds each names the unlabelled rows it is surest
-of, in the proportion of the labels, as examples for the other. Both are then
+labelled rows; over ``ROUNDS`` rounds each names the rows it is surest of, among
+all unlabelled ones and in the proportion of the labels, as examples for the other
+(rows that tie at the last place come in together). Both are then
 calibrated (Platt) on labelled rows held back, and their log odds are added, less
 those of the prior counted twice. All documents are scored.
 
-Only the fit uses bounded samples (``LABELLED`` and ``UNLABELLED`` rows in
-expectation, chosen by a hash of the key); the model is two weight vectors of
-fixed length. Scoring is one pass without a shuffle.
+Only labelled rows are sampled (``LABELLED`` in expectation, chosen by a hash of
+the key). The texts are read once; each document's features are written to the
+shared checkpoint folder. Unlabelled rows are never gathered: the places at which
+a view's surest rows begin come from histograms of fixed length, and a fit sums
+gradients and Hessians over them. Which rows were named follows from the earlier
+rounds' weights and cuts, so no state is kept by row.
 
 Edge cases: a null or empty text is scored by what is left of it; several labels of
 a key count as their mean, ties and nulls as none; with labels of one kind or
@@ -23,20 +27,26 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.quality import SYMBOLS, duplicate_lines, repeated_words
+from orrery.llm.shared import checkpointed, sized
 from orrery.llm.text import alnum_table, code_points, map_texts, mix, not_ascii_space, span_hashes, spans
 
 PAIRS = 192
 TEXT_DENSE = 6
 META = 26
-LABELLED, UNLABELLED = 8_000, 8_000
+LABELLED = 8_000
 ROUNDS = 4
 #: Of the unlabelled rows, the share that each view labels for the other in a round.
 TAKEN = 0.05
+#: Newton steps of a fit at most.
+STEPS = 12
 SURE = 0.95
+#: Tasks that sum up what the tasks over all rows found.
+SUMMED_BY = 8
 
 
 def views(texts: list[str], langs: list, lengths: list) -> tuple[np.ndarray, np.ndarray]:
@@ -85,28 +95,124 @@ def views(texts: list[str], langs: list, lengths: list) -> tuple[np.ndarray, np.
     return text, meta
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights (the last one constant) by Newton steps."""
+def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the logistic loss, without a penalty, end to end."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def stepped(w: np.ndarray, found: np.ndarray, ridge: float) -> tuple[np.ndarray, bool]:
+    """Weights after a Newton step from ``sums``, and whether they have settled."""
+    penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
+    gradient, hessian = found[: len(w)], found[len(w) :].reshape(len(w), len(w))
+    move = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * w)
+    return w - move * min(1.0, 5 / max(np.abs(move).max(), 1e-12)), bool(np.abs(move).max() < 1e-4)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = STEPS) -> np.ndarray:
+    """Weights (the last one constant) by Newton steps."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
-        w -= move * min(1.0, 5 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-4:
+        w, settled = stepped(w, sums(x, y, w), ridge)
+        if settled:
             break
     return w
 
 
+def ranks(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log odds in steps of a 2,048th of their size, as integers: negative ones for the class 0; 0 for unsure rows."""
+    z = (x @ w[:-1] + w[-1]).astype(np.float32)
+    return np.where(np.abs(z) >= np.log(SURE / (1 - SURE)), np.sign(z), 0).astype(np.int32) * (np.abs(z).view(np.int32) >> 12)
+
+
+def labels_given(views: list[np.ndarray], history: list) -> list[np.ndarray]:
+    """For each view the labels that the other gave in the rounds so far (NaN: none).
+
+    ``history`` has each round's weights and, by view, the least ranks (class 0, class 1) taken.
+    """
+    given = [np.full(len(views[0]), np.nan) for _ in views]
+    for weights, cuts in history:
+        for v in range(2):
+            rank, other = ranks(views[v], weights[v]), given[1 - v]
+            for label, here in ((0, -rank), (1, rank)):
+                other[np.isnan(other) & (here >= cuts[v][label])] = label
+    return given
+
+
+def cut(bins: dict[int, int], n: int) -> int:
+    """The rank from which on at least ``n`` rows lie, or all; 1 or more."""
+    left = max(1, n)
+    for rank in sorted(bins, reverse=True):
+        left -= bins[rank]
+        if left <= 0:
+            return rank
+    return 1
+
+
+def unpacked(x: pa.Array) -> np.ndarray:
+    """Feature rows, of both views side by side, from their bytes."""
+    return np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(len(x), -1).astype(float)
+
+
+def scaled(x: pa.Array, norm: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    return [(v - c) / s for v, (c, s) in zip(np.split(unpacked(x), [len(norm[0][0])], axis=1), norm, strict=True)]
+
+
+class Pool:
+    """The unlabelled rows, as a table of features that is never gathered."""
+
+    def __init__(self, rows: DataFrame, norm: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows, self.norm, self.size = rows.select("x"), norm, rows.count()
+
+    def histograms(self, weights: list, history: list) -> list[list[dict[int, int]]]:
+        """By view and class: how many rows, of those the other view has no label for, have each rank."""
+        norm = self.norm
+
+        def count(batches):
+            for batch in batches:
+                x = scaled(batch.column(0), norm)
+                given = labels_given(x, history)
+                for v in range(2):
+                    rank, n = np.unique(ranks(x[v], weights[v])[np.isnan(given[1 - v])], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), v, np.int32)), pa.array(rank.astype(np.int32)), pa.array(n.astype(np.int64))], names=["v", "rank", "n"])
+
+        # a float has at most so many ranks: a result of bounded length
+        found = self.rows.mapInArrow(count, "v int, rank int, n long").where("rank != 0").groupBy("v", "rank").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+        return [[{abs(r["rank"]): r["n"] for r in found if r["v"] == v and (r["rank"] > 0) == bool(label)} for label in (0, 1)] for v in range(2)]
+
+    def sums(self, weights: list, history: list) -> list[np.ndarray]:
+        """``sums`` of each view over the rows that the other one has named."""
+        sizes = [len(w) * (len(w) + 1) for w in weights]
+        norm = self.norm
+
+        def add(batches):
+            total = np.zeros(sum(sizes))
+            for batch in batches:
+                x = scaled(batch.column(0), norm)
+                given = labels_given(x, history)
+                has = [~np.isnan(g) for g in given]
+                total += np.concatenate([sums(x[v][has[v]], given[v][has[v]], weights[v]) for v in range(2)])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        def join(batches):
+            total = np.zeros(sum(sizes))
+            for batch in batches:
+                for x in batch.column(0):
+                    total += np.frombuffer(x.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        parts = self.rows.mapInArrow(add, "total binary").repartition(SUMMED_BY).mapInArrow(join, "total binary").toArrow().column(0).to_pylist()
+        return np.split(sum((np.frombuffer(p) for p in parts), np.zeros(sum(sizes))), sizes[:1])
+
+
 def odds(x: np.ndarray, model: tuple) -> np.ndarray:
     center, scale, w, a, b = model
     return a * (((x - center) / scale) @ w[:-1] + w[-1]) + b
 
 
-def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, ...]) -> dict:
+def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray, unlabelled: DataFrame) -> dict:
     """Models of both views (center, scale, weights, Platt a and b) and the prior's log odds."""
     prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
     out = {"prior": float(np.log(prior / (1 - prior))), "views": None}
@@ -115,27 +221,22 @@ def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray,
     fit = ~held if 0 < y[~held].mean() < 1 and held.any() and 0 < y[held].mean() < 1 else np.ones(len(y), bool)
     test = held if not fit.all() else fit
     norm = [(v[fit].mean(axis=0), v[fit].std(axis=0) + 1e-3) for v in labelled]
-    scaled = [(v - c) / s for v, (c, s) in zip(labelled, norm, strict=True)]
-    unlabelled = [(v - c) / s for v, (c, s) in zip(pool, norm, strict=True)]
-    given = [np.full(len(pool[0]), np.nan) for _ in labelled]  # labels that the other view gave
-    n_each = int(TAKEN * len(pool[0]))
-    for turn in range(ROUNDS + 1):
-        weights = []
-        for v in range(2):
-            has = ~np.isnan(given[v])
-            weights.append(logistic(np.concatenate([scaled[v][fit], unlabelled[v][has]]), np.concatenate([y[fit], given[v][has]])))
-        if turn == ROUNDS or not n_each:
-            break
-        for v in range(2):
-            other = 1 - v
-            p = 1 / (1 + np.exp(-np.clip(unlabelled[v] @ weights[v][:-1] + weights[v][-1], -30, 30)))
-            open_ = np.isnan(given[other])
-            for label, sure, n in ((1, p, round(n_each * prior)), (0, 1 - p, round(n_each * (1 - prior)))):
-                rows = np.flatnonzero(open_ & (sure >= SURE))
-                given[other][rows[np.argsort(-sure[rows], kind="stable")[: max(1, n)]]] = label
+    own = [(v - c) / s for v, (c, s) in zip(labelled, norm, strict=True)]
+    weights = [logistic(x[fit], y[fit]) for x in own]
+    pool = Pool(unlabelled, norm)
+    n_each = int(TAKEN * pool.size)
+    history: list[tuple[list, list]] = []
+    for _ in range(ROUNDS if n_each else 0):
+        bins = pool.histograms(weights, history)
+        history.append((weights, [[cut(bins[v][0], round(n_each * (1 - prior))), cut(bins[v][1], round(n_each * prior))] for v in range(2)]))
+        for _ in range(STEPS):
+            found = [a + sums(x[fit], y[fit], w) for a, x, w in zip(pool.sums(weights, history), own, weights, strict=True)]
+            weights, settled = zip(*[stepped(w, a, 1.0) for w, a in zip(weights, found, strict=True)], strict=True)
+            if all(settled):
+                break
     models = []
     for v in range(2):
-        raw = scaled[v][test] @ weights[v][:-1] + weights[v][-1]
+        raw = own[v][test] @ weights[v][:-1] + weights[v][-1]
         a, b = logistic(raw[:, None] / 5, y[test], ridge=0.1)
         models.append((*norm[v], weights[v], max(a, 0.0) / 5, b))
     return out | {"views": models}
@@ -149,47 +250,57 @@ def scores(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", length: str = "n_chars", label: str = "quality") -> dict:
+def labelled_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """key, y (1 or 0) of the keys that have a label."""
     named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("y")).where("y != 0.5")
-    named = named.select(key, F.when(F.col("y") > 0.5, 1).otherwise(0).alias("y"))
+    return named.select(key, F.when(F.col("y") > 0.5, 1).otherwise(0).alias("y"))
+
+
+def fitted(known: DataFrame, named: DataFrame, key: str = "doc_id") -> dict:
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
 
     def part(n: int, of: int) -> int:
         return int(min(1.0, n / max(1, of)) * (1 << 30))
 
-    chosen = named.where(draw < part(LABELLED, named.count()))
-    ids = docs.select(key).where(F.col(key).isNotNull())
-    free = ids.where(draw < part(UNLABELLED, docs.count())).distinct().join(named.select(key), key, "left_anti")
-    # both samples are bounded by the parameters above, in expectation
-    wanted = chosen.union(free.select(key, F.lit(-1))).toArrow().to_pandas()
+    # bounded by the parameter above, in expectation
+    wanted = named.where(draw < part(LABELLED, named.count())).toArrow().to_pandas()
     y_of = dict(zip(wanted[key].tolist(), wanted["y"].tolist(), strict=True))
-    rows = docs.join(F.broadcast(docs.sparkSession.createDataFrame(wanted[[key]], schema=f"`{key}` {dict(docs.dtypes)[key]}")), key)
-
-    def features(cols, texts):
-        a, b = views(texts, cols[lang], cols[length])
-        return {key: cols[key], "a": a.astype(np.float32).tolist(), "b": b.astype(np.float32).tolist()}
-
-    kinds = dict(docs.dtypes)
-    got = map_texts(rows, features, f"`{key}` {kinds[key]}, a array<float>, b array<float>", [key, lang, length], text).toArrow()
+    rows = known.join(F.broadcast(known.sparkSession.createDataFrame(wanted[[key]], schema=f"`{key}` {dict(known.dtypes)[key]}")), key)
+    got = rows.select(key, "x").toArrow()
     keys = got.column(key).to_pylist()
     order = np.argsort(np.array(keys), kind="stable") if keys else np.zeros(0, np.int64)
-    both = [np.asarray(got.column(c).combine_chunks().flatten()).reshape(len(keys), -1)[order].astype(float) if keys else np.zeros((0, 1)) for c in "ab"]
+    both = np.split(unpacked(got.column("x"))[order], [PAIRS + TEXT_DENSE], axis=1) if keys else [np.zeros((0, 1))] * 2
     y = np.array([y_of[keys[i]] for i in order], float)
-    known = y >= 0
     held = np.array([crc32(str(keys[i]).encode()) % 5 == 0 for i in order], bool)
-    return cotrained(tuple(v[known] for v in both), y[known], held[known], tuple(v[~known] for v in both))
+    return cotrained(tuple(both), y, held, known.where("free"))
+
+
+def featured(docs: DataFrame, named: DataFrame, key: str, text: str, lang: str, length: str) -> DataFrame:
+    """key, free (no label, and a key), x (features as bytes) of every row."""
+    kind = dict(docs.dtypes)[key]
+    marked = docs.select(key, text, lang, length).join(sized(named.select(key, F.lit(True).alias("__named"))), key, "left")
+    marked = marked.withColumn("__free", F.col("__named").isNull() & F.col(key).isNotNull())
+
+    def features(cols, texts):
+        x = np.column_stack(views(texts, cols[lang], cols[length])).astype(np.float32)
+        return {key: cols[key], "free": cols["__free"], "x": [r.tobytes() for r in x]}
+
+    return checkpointed(map_texts(marked, features, f"`{key}` {kind}, free boolean, x binary", [key, lang, length, "__free"], text), "features")
 
 
-def classified(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", lang: str = "lang", length: str = "n_chars") -> DataFrame:
-    """key, score (probability of good quality), kept (score of 0.5 at least)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def classified(known: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
+    """key, score (probability of good quality), kept (score of 0.5 at least) from rows with features."""
+    sent = known.sparkSession.sparkContext.broadcast(model)
 
-    def score(cols, texts):
-        s = scores(sent.value, *views(texts, cols[lang], cols[length]))
-        return {key: cols[key], "score": s, "kept": s >= 0.5}
+    def score(batches):
+        for batch in batches:
+            s = scores(sent.value, *np.split(unpacked(batch.column(1)), [PAIRS + TEXT_DENSE], axis=1)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= 0.5)], names=[key, "score", "kept"])
 
-    return map_texts(docs, score, f"`{key}` {dict(docs.dtypes)[key]}, score double, kept boolean", [key, lang, length], text)
+    return known.select(key, "x").mapInArrow(score, f"`{key}` {dict(known.dtypes)[key]}, score double, kept boolean")
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classified(docs, fitted(docs, labels))
+    named = labelled_keys(labels)
+    known = featured(docs, named, "doc_id", "text", "lang", "n_chars")
+    return classified(known, fitted(known, named))

@@ -334,6 +334,43 @@ def test_classifier(spark, docs, empty, rows):
     assert classifier.op10(docs, labels).count() == len(rows) and classifier.op10(empty, labels).count() == 0
 
 
+def test_co_training_uses_all_unlabelled_rows(spark):
+    draw = np.random.default_rng(3)
+    words = np.array(["ember", "stone", "of", "the", "lift", "and", "$", "#", "aa", "bb", "zz9", "QQ!"])
+    weights = [np.linspace(1, 2, 12), np.linspace(2, 1, 12)]
+    rows = []
+    for i in range(12_000):
+        w = weights[i % 2] ** draw.choice([1, 3])
+        text = " ".join(draw.choice(words, int(draw.integers(8, 25)), p=w / w.sum()))
+        rows.append((i, text, "en", len(text)))
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    got = {r["doc_id"]: r["score"] for r in classifier.op10(many, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")).collect()}
+
+    views = [v.astype(np.float32).astype(float) for v in classifier.views([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])]
+    y, n = np.arange(200) % 2, 200
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in range(n)])
+    x = [(v - v[:n][~held].mean(axis=0)) / (v[:n][~held].std(axis=0) + 1e-3) for v in views]
+    given = [np.full(len(rows) - n, np.nan) for _ in x]
+    for turn in range(5):
+        has = [~np.isnan(g) for g in given]
+        w = [classifier.logistic(np.concatenate([x[v][:n][~held], x[v][n:][has[v]]]), np.concatenate([y[~held], given[v][has[v]]])) for v in range(2)]
+        for v in range(2) if turn < 4 else ():
+            z = x[v][n:] @ w[v][:-1] + w[v][-1]
+            for label, side in ((1, z), (0, -z)):
+                open_ = np.flatnonzero(np.isnan(given[1 - v]) & (side >= math.log(19)))
+                share = y[:n].mean() if label else 1 - y[:n].mean()
+                best = np.sort(side[open_])[::-1][: round(590 * share)]
+                given[1 - v][open_[side[open_] >= best[-1] * (1 - 2**-12)] if len(best) else []] = label
+    total = np.zeros(len(rows))
+    for v in range(2):
+        raw = x[v] @ w[v][:-1] + w[v][-1]
+        a, b = classifier.logistic(raw[:n][held][:, None] / 5, y[held], ridge=0.1)
+        total += max(a, 0.0) / 5 * raw + b
+    prior = y.mean()
+    want = 1 / (1 + np.exp(-np.clip(total - math.log(prior / (1 - prior)), -30, 30)))
+    assert np.abs(np.array([got[i] for i in range(len(rows))]) - want).max() < 0.01
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
