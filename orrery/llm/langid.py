@@ -1,7 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log probabilities, hash buckets by languages, fitted on
-a bounded hash sample of labelled rows (``fit_rows``, in expectation) and sent to
+a hash sample of labelled rows (``fit_rows``, in expectation, and of each language
+its ``LEAST_ROWS`` rows of the least hashes at least, so that none is lost) and sent to
 the executors as a broadcast of checked size (``MAX_MODEL_BYTES``). Texts are
 scored in sparse batches: hashed n-grams pick matrix rows, which are summed per
 document. Training is a sum of counts, so any order of rows gives the same model.
@@ -24,6 +25,7 @@ from orrery.llm.text import code_points, filter_texts, letter_table, map_texts,
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 FIT_ROWS = 20_000
+LEAST_ROWS = 100
 MAX_MODEL_BYTES = 256 << 20
 
 
@@ -58,9 +60,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, matrix of BUCKETS x languages) from rows with text and label."""
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, label, text)
-    share = min(1.0, fit_rows / max(1, rows.count()))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
+    langs = sorted(sizes)
+    if len(langs) * BUCKETS * 4 > MAX_MODEL_BYTES:
+        raise ValueError(f"{len(langs)} languages make a model larger than {MAX_MODEL_BYTES} bytes")
+    share = min(1.0, fit_rows / max(1, sum(sizes.values())))
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+        rows = sampled(rows, sizes, share, label, key)
     rows = rows.repartition(8)
 
     def count(cols, texts):
@@ -71,9 +77,6 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
 
     counts = map_texts(rows, count, "lang string, bucket long, n long", [label], text)
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in rows.select(F.col(label).cast("string")).distinct().collect())
-    if len(langs) * BUCKETS * 4 > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages make a model larger than {MAX_MODEL_BYTES} bytes")
     got = counts.toPandas()
     table = np.full((BUCKETS, len(langs)), 0.5)
     at = {x: i for i, x in enumerate(langs)}
@@ -82,6 +85,30 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
     return langs, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32)
 
 
+def sampled(rows: DataFrame, sizes: dict[str, int], share: float, label: str, key: str) -> DataFrame:
+    """``share`` of the rows by a hash of the key, and LEAST_ROWS at least of each language that has so many.
+
+    A row is kept if its hash is under its language's bound. Of a language for which
+    ``share`` makes fewer than LEAST_ROWS, the bound is its LEAST_ROWS-th least hash
+    (the hashes are counted once more, in the part of them that is sure to hold it).
+    """
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
+    name = F.col(label).cast("string")
+    bounds = {x: int(share * (1 << 30)) for x in sizes}
+    rare = [x for x, n in sizes.items() if share * n < LEAST_ROWS]
+    todo = {x: min(1.0, 2 * LEAST_ROWS / sizes[x]) for x in rare}
+    while todo:
+        limit = F.element_at(F.create_map(*[F.lit(y) for x, part in todo.items() for y in (x, int(part * (1 << 30)))]), name)
+        found: dict[str, list[int]] = {}
+        for r in rows.where(name.isin(*todo) & (draw < limit)).select(name.alias("lang"), draw.alias("draw")).distinct().collect():
+            found.setdefault(r["lang"], []).append(r["draw"])
+        done = [x for x, part in todo.items() if part >= 1 or len(found.get(x, [])) >= LEAST_ROWS]
+        for x in done:
+            bounds[x] = max(bounds[x], sorted(found[x])[:LEAST_ROWS][-1] + 1)
+        todo = {x: min(1.0, 2 * part) for x, part in todo.items() if x not in done}
+    return rows.where(draw < F.element_at(F.create_map(*[F.lit(y) for x, n in bounds.items() for y in (x, n)]), name))
+
+
 def posteriors(names: list[str], table: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     bucket, owner, letters = grams(texts)

@@ -68,6 +68,16 @@ def test_langid(docs, empty, rows):
     assert langid.identified(docs, *langid.fit(docs)).columns == docs.columns
 
 
+def test_langid_knows_rare_languages(spark):
+    words = {"aa": "abba cadabra baca daba", "zz": "xyz zyx wuzz yxw"}
+    labelled = spark.createDataFrame([(i, words["zz" if i == 77 else "aa"], "zz" if i == 77 else "aa") for i in range(3000)], "doc_id long, text string, lang string")
+    langs, matrix = langid.fit(labelled, fit_rows=20)
+    assert langs == ["aa", "zz"]
+    assert langid.posteriors(langs, matrix, list(words.values()))[0] == ["aa", "zz"]
+    sizes = {"aa": 2999, "zz": 1}
+    assert {r[0]: r[1] for r in langid.sampled(labelled, sizes, 20 / 3000, "lang", "doc_id").groupBy("lang").count().collect()} == {"aa": 100, "zz": 1}
+
+
 def test_langid_without_labels(docs):
     assert {r[0] for r in langid.op1(docs.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").collect()} == {"und"}
 
