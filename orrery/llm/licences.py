@@ -124,6 +124,31 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+def named(expression: str) -> list[str]:
+    """The licences that a malformed expression names before a word that cannot follow; what is behind a *with* is none."""
+    out: list[str] = []
+    depth, operand_next, after = 0, True, ""
+    for token in TOKEN.findall(expression):
+        low = token.lower().rstrip(".")
+        if token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token == ")":
+            if not depth:
+                break
+            depth, operand_next = depth - 1, False
+        elif low in RANK:
+            operand_next, after = True, low
+        elif not operand_next:
+            break
+        else:
+            if low and after != "with":
+                out.append(low)
+            operand_next = False
+    return out
+
+
 def is_permissive(licence: str) -> bool:
     return licence.startswith(PERMISSIVE) and not licence.startswith(RESTRICTED)
 
@@ -134,8 +159,7 @@ def evaluate(expression: str) -> tuple[str, list[str], bool]:
     try:
         steps = postfix(expression)
     except ValueError:
-        named = [t.lower().rstrip(".") for t in TOKEN.findall(expression) if t not in "()" and t.lower() not in RANK]
-        return "malformed", [n for n in named[:1] if n], False
+        return "malformed", named(expression), False
     for step in steps:
         if step not in RANK:
             stack.append((step, [step], is_permissive(step), 4))

@@ -202,6 +202,12 @@ def test_licences(docs, empty):
     assert licences.op4(docs).count() == docs.count() and licences.op4(empty).count() == 0
 
 
+def test_malformed_expression_names_its_licences():
+    for bad, names in {"(MIT OR GPL-3.0-only": ["mit", "gpl-3.0-only"], "MIT AND Apache-2.0 OR": ["mit", "apache-2.0"], "(MIT OR ISC see the file": ["mit", "isc"], "GPL-2.0 WITH Classpath OR (": ["gpl-2.0"], "AND MIT": ["mit"], "": []}.items():
+        assert licences.evaluate(bad) == ("malformed", names, False)
+    assert licences.scan("SPDX-License-Identifier: (MIT OR GPL-3.0-only\n")[5] == "gpl-3.0-only,mit"
+
+
 def test_bpe(docs, empty, rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
