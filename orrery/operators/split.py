@@ -49,10 +49,10 @@ def renamed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, new_id, sub) of the nodes that lie under a root.
 
     Roots and files meet by (world, root directory): a file has one candidate per
-    depth that roots have, so the prefix test is an equi-join.
+    depth that roots have (no more than the longest path has), so the prefix test is an equi-join.
     """
     rel = S.rel_of(F.col("id"))
-    depths = [r[0] for r in roots.select(F.size(F.split("dir", "/"))).distinct().orderBy(F.lit(1)).limit(64).collect()]
+    depths = [r[0] for r in roots.select(F.size(F.split("dir", "/"))).distinct().orderBy(F.lit(1)).collect()]
     if not depths:
         return nodes.select("id", F.lit("").alias("new_id"), F.lit("").alias("sub")).limit(0)
     parts = F.split(rel, "/")

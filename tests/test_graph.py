@@ -74,3 +74,10 @@ def test_split(spark):
     ungated = dirs.where("dir not like 'charts%'")
     assert {r[0] for r in split.split_worlds(n, e, cross, ungated)[0].select("world").collect()} == {"foo", "bar", "r"}
     assert split.split_worlds(n, e, cross, dirs.limit(0))[0].exceptAll(n).count() == 0
+
+
+def test_split_roots_at_many_depths(spark):
+    dirs = ["/".join(["d"] * k + [f"s{k}"]) for k in range(70)]
+    n = spark.createDataFrame([(f"r::{d}/a.go", "r", "file", d) for d in dirs], "id string, world string, kind string, name string")
+    roots = spark.createDataFrame([("r", d, f"s{k}") for k, d in enumerate(dirs)], "world string, dir string, name string")
+    assert {r["sub"] for r in split.renamed(n, roots).collect()} == {f"s{k}" for k in range(70)}
