@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orrery import model
 
 SENTINEL = "\0VAR\0"
-#: When a literal is SQL, and which tokens are its tables.
+#: Patterns that must match alike for equal keys. When a literal is SQL, and which tokens are its tables.
 SQL_GATE = r"(?i)(?<![A-Za-z0-9_])(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|REPLACE|MERGE)(?![A-Za-z0-9_])"
 SQL_TABLE = "(?i)(?<![A-Za-z0-9_])(?:FROM|JOIN|INTO|UPDATE|TABLE)[\\t\\n\\f\\r ]+[\"'`]?([A-Za-z_][A-Za-z0-9_.]*)"
 OPENAPI_LINE = r"""(?m)^[ \t]*["']?(openapi|swagger)["']?[ \t]*:[ \t]*["']?[23]"""
@@ -27,19 +27,32 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+\z", "")
 
 
+#: Path parameters, numbers, version prefixes.
+PARAMETER = r"\{[^/}]+\}|\$\{[^/}]+\}|:[A-Za-z_][A-Za-z0-9_]*"
+NUMBER, VERSION = "/[0-9]+", r"^/(api|v[0-9]+)(/|\z)"
+#: Names of services in addresses; gRPC names of clients, servers and mocks.
+SERVICE_NAME = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z"
+GO_CLIENT, GO_SERVER, PYTHON_STUB, PYTHON_REGISTRAR, NEW_CLIENT = r"^New(.+)Client\z", r"^Register(.+)Server\z", r"^(.+)Stub\z", r"^add_(.+)Servicer_to_server\z", r"^(.+)Client\z"
+MOCKED = "^(Mock|Fake|Stub|Spy)"
+
+
 def http_key(method: Column, path: Column) -> Column:
     """``METHOD /path`` with parameters, numbers and version prefixes normalized."""
     p = _or(F.regexp_replace(_or(path, "/"), r"(?s)\?.*\z", ""), "/")
-    p = F.regexp_replace(p, r"\{[^/}]+\}|\$\{[^/}]+\}|:[A-Za-z_][A-Za-z0-9_]*", "{}")
-    p = F.regexp_replace(p, "/[0-9]+", "/{}")
-    p = F.regexp_replace(p, r"^/(api|v[0-9]+)(/|\z)", "/")
+    p = F.regexp_replace(p, PARAMETER, "{}")
+    p = F.regexp_replace(p, NUMBER, "/{}")
+    p = F.regexp_replace(p, VERSION, "/")
     return F.concat(_or(F.upper(method), "GET"), F.lit(" "), F.regexp_replace(p, "//+", "/"))
 
 
 def url_path(raw: Column) -> Column:
     """Path of a literal URL: of http(s) URLs the decoded path, of paths themselves, else empty."""
     path = F.regexp_extract(raw, r"^https?://[^/?#]*([^?#]*)", 1)
-    bad = path.rlike("%(?![0-9A-Fa-f]{2})") | raw.rlike(r"^https?://[^/?#]*:[^/?#0-9]+(?=[/?#]|\z)")
+    authority = F.regexp_extract(raw, "^https?://([^/?#]*)", 1)
+    user = F.regexp_extract(authority, r"(?s)^(.*)@", 1)
+    at = F.regexp_replace(authority, r"(?s)^.*@", "")
+    port = at.rlike(r"^[^\[].*:[^:]*[^0-9:][^:]*\z|^:[^:]*[^0-9:][^:]*\z|^\[(?!.*\](:[0-9]*)?\z)")
+    bad = path.rlike("%(?![0-9A-Fa-f]{2})") | port | user.rlike(r"[^A-Za-z0-9._:~!$&'()*+,;=%@-]") | at.rlike(r"[ {}|\\^`]") | raw.rlike(r"[\x00-\x1F\x7F]")
     decoded = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit(""))).otherwise(path)
     of_url = F.when(bad, F.lit("")).otherwise(_or(decoded, "/"))
     return F.when(raw.rlike("^https?://"), of_url).when(F.startswith(raw, F.lit("/")), raw).otherwise(F.lit(""))
@@ -66,7 +79,7 @@ def service_of(value: Column) -> Column:
     v = F.when(v.contains("://"), F.regexp_extract(v, r"(?s)://(.*)\z", 1)).otherwise(v)
     v = F.regexp_replace(F.regexp_replace(v, r"(?s)[/:].*\z", ""), r"(?s)\..*\z", "")
     v = normalized_service(v)
-    return F.when(v.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z") & ~v.rlike(r"^[0-9]+\z"), v)
+    return F.when(v.rlike(SERVICE_NAME) & ~v.rlike(r"^[0-9]+\z"), v)
 
 
 def topic_key(topic: Column) -> Column:
@@ -130,25 +143,25 @@ def _service(name: Column, pattern: str) -> Column:
 
 
 def go_grpc_client(name: Column) -> Column:
-    found = _service(name, r"^New(.+)Client\z")
-    return F.when(~found.rlike("^(Mock|Fake|Stub|Spy)"), found)
+    found = _service(name, GO_CLIENT)
+    return F.when(~found.rlike(MOCKED), found)
 
 
 def go_grpc_server(name: Column) -> Column:
-    found = _service(name, r"^Register(.+)Server\z")
-    return F.when(~found.rlike("^(Mock|Fake|Stub|Spy)") & ~found.isin("Health", "ServerReflection"), found)
+    found = _service(name, GO_SERVER)
+    return F.when(~found.rlike(MOCKED) & ~found.isin("Health", "ServerReflection"), found)
 
 
 def python_stub(name: Column) -> Column:
-    return _service(name, r"^(.+)Stub\z")
+    return _service(name, PYTHON_STUB)
 
 
 def python_registrar(name: Column) -> Column:
-    return _service(name, r"^add_(.+)Servicer_to_server\z")
+    return _service(name, PYTHON_REGISTRAR)
 
 
 def new_client(name: Column) -> Column:
-    return _service(name, r"^(.+)Client\z")
+    return _service(name, NEW_CLIENT)
 
 
 def agreed_suffix(full: Column, suffix: str) -> Column:
