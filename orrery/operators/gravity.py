@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 from orrery.operators.resolve import first_wins
+from orrery.tables import stored
 
 SWEEPS = 100
 
@@ -54,37 +56,38 @@ def modularity(adjacent: DataFrame, communities: DataFrame) -> DataFrame:
     return terms.agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("modularity"))
 
 
-def local_moves(neighbours: dict[str, dict[str, float]]) -> dict[str, str]:
-    """Single-level local moving, worlds in sorted order, until a sweep moves none.
+def local_moves(worlds: list[str], a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Community of each of ``worlds`` (sorted), as the place of the world that names it.
 
-    Leaving a community is scored against the label that bears the world's own
-    name. Weights are halves, so sums are exact and equal gains are real ties.
+    ``a``, ``b`` and ``weight`` are undirected links by place. Worlds are visited in
+    order, again and again until a sweep moves none. A visit scores the labels of the
+    world's links and its own by link weight less the label's share of all weight, and
+    takes the highest; the world's own place counts as a label of score 0, whoever
+    bears it, and equal scores go to the lesser place. Weights are halves, so sums are
+    exact and equal scores are real ties.
     """
-    community = {w: w for w in neighbours}
-    degree = {w: sum(near.values()) for w, near in neighbours.items()}
-    total = sum(degree.values())
-    if total == 0:
-        return community
-    inside = dict(degree)
-    for _ in range(SWEEPS):
-        moved = False
-        for w in sorted(neighbours):
-            here = community[w]
-            inside[here] -= degree[w]
-            pull: dict[str, float] = {}
-            for other, weight in neighbours[w].items():
-                pull[community[other]] = pull.get(community[other], 0.0) + weight
-            choice, most = w, 0.0
-            for c in sorted({here, *pull}):
-                gain = pull.get(c, 0.0) - inside[c] * degree[w] / total
-                if gain > most or (gain == most and c < choice):
-                    choice, most = c, gain
-            inside[choice] += degree[w]
-            if choice != here:
-                community[w], moved = choice, True
-        if not moved:
+    n = len(worlds)
+    ends, others, weights = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+    order = np.argsort(ends, kind="stable")
+    others, weights = others[order], weights[order]
+    first = np.searchsorted(ends[order], np.arange(n + 1))
+    degree = np.bincount(ends, weights, n) if len(ends) else np.zeros(n)
+    label, held = np.arange(n), degree.copy()
+    whole = degree.sum()
+    linked = np.flatnonzero(degree)
+    for _ in range(SWEEPS if whole else 0):
+        before = label.copy()
+        for i in linked:
+            held[label[i]] -= degree[i]
+            near = slice(first[i], first[i + 1])
+            seen, place = np.unique(np.append(label[others[near]], label[i]), return_inverse=True)
+            score = np.bincount(place, np.append(weights[near], 0.0)) - held[seen] * degree[i] / whole
+            seen, score = np.append(seen, i), np.append(score, 0.0)
+            label[i] = seen[score == score.max()].min()
+            held[label[i]] += degree[i]
+        if (label == before).all():
             break
-    return community
+    return label
 
 
 def communities(worlds: DataFrame, adjacent: DataFrame) -> DataFrame:
@@ -94,13 +97,11 @@ def communities(worlds: DataFrame, adjacent: DataFrame) -> DataFrame:
     rows = adjacent.select("a", "b", "weight").union(worlds.select(F.col("world").alias("a"), F.lit(None).cast("string"), F.lit(0.0)))
 
     def move(pdf):
-        near: dict[str, dict[str, float]] = {}
-        for a, b, weight in zip(pdf["a"], pdf["b"], pdf["weight"], strict=True):
-            near.setdefault(a, {})
-            if isinstance(b, str):
-                near[a][b] = near.setdefault(b, {})[a] = float(weight)
-        out = local_moves(near)
-        return type(pdf)({"world": list(out), "community": list(out.values())})
+        links = pdf[pdf["b"].notna()]
+        names = sorted({*pdf["a"], *links["b"]})
+        place = {w: i for i, w in enumerate(names)}
+        label = local_moves(names, links["a"].map(place).to_numpy(int), links["b"].map(place).to_numpy(int), links["weight"].to_numpy(float))
+        return type(pdf)({"world": names, "community": [names[k] for k in label]})
 
     return rows.withColumn("graph", F.lit(1)).groupBy("graph").applyInPandas(move, "world string, community string")
 
@@ -118,8 +119,8 @@ def report(nodes: DataFrame, cross_edges: DataFrame, worlds: DataFrame | None =
 
 
 def report_of(worlds: DataFrame, adjacent: DataFrame) -> DataFrame:
-    adjacent = adjacent.cache()
-    found = communities(worlds, adjacent).cache()
+    worlds, adjacent = stored(worlds, "worlds"), stored(adjacent, "adjacency")
+    found = stored(communities(worlds, adjacent), "communities")
     ranked = mass(worlds, adjacent).agg(F.array_sort(F.collect_list(F.struct((-F.col("mass")).alias("m"), "world"))).alias("w"))
     ranked = ranked.select(F.transform("w", lambda x: F.struct(x["world"].alias("world"), (-x["m"]).alias("mass"))).alias("worlds"))
     groups = galaxies(found).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "members"))).alias("g"))
