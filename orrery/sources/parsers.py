@@ -584,23 +584,64 @@ def proto_facts(src: str) -> Iterator[dict]:
         i += 1
 
 
-def python_tree(src: str) -> ast.Module:
-    """The module's tree; lines that don't parse are blanked, 200 at most."""
-    lines = src.split("\n")
-    for _ in range(200):
-        try:
-            return ast.parse("\n".join(lines))
-        except SyntaxError as e:
-            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
-            if not lines[at].strip() or lines[at].strip() == "pass":
-                at = next((k for k in range(at - 1, -1, -1) if lines[k].strip() not in ("", "pass")), -1)
-                if at < 0:
+def top_blocks(lines: list[str]) -> list[int]:
+    """Line numbers at which top-level statements begin: text at column 0 outside strings and brackets.
+
+    A line that opens a statement ends brackets left open before it.
+    """
+    begins, depth, quote = [], 0, ""
+    decorated = False
+    for k, line in enumerate(lines):
+        starts = re.match(r"(@|(async\s+def|def|class|import|from|if|for|while|with|try)\b)", line)
+        if not quote and starts:
+            depth = 0
+        goes_on = re.match(r"(else|elif|except|finally)\b", line)
+        if not quote and depth == 0 and line[:1] not in ("", " ", "\t", "#", "\r", "\f") and not goes_on:
+            if not decorated:
+                begins.append(k)
+            decorated = line.startswith("@")
+        for piece in re.finditer(r"\\.|\"\"\"|\'\'\'|\"(?:\\.|[^\"\\])*\"|\'(?:\\.|[^\'\\])*\'|#.*|[\[\](){}]", line) if not quote else ():
+            found = piece.group()
+            if found in ('\"\"\"', "\'\'\'"):
+                rest = line[piece.end() :]
+                if found not in rest:
+                    quote = found
                     break
-            indent = lines[at][: len(lines[at]) - len(lines[at].lstrip())]
-            lines[at] = indent + "pass" if lines[at].strip() != "pass" else ""
-        except (ValueError, RecursionError):
-            break
-    return ast.Module([], [])
+            elif found in "([{":
+                depth += 1
+            elif found in ")]}":
+                depth = max(0, depth - 1)
+        else:
+            if quote and quote in line:
+                quote = ""
+            continue
+    return begins
+
+
+def python_tree(src: str) -> ast.Module:
+    """The module's tree. Where it doesn't parse, each top-level statement is read by itself, and loses the lines that don't parse."""
+    try:
+        return ast.parse(src)
+    except (SyntaxError, ValueError, RecursionError):
+        lines = src.replace("\0", " ").split("\n")
+    body = []
+    edges = [*top_blocks(lines), len(lines)]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        block = lines[begin:end]
+        while any(x.strip() not in ("", "pass") for x in block):  # each turn takes a line away
+            try:
+                tree = ast.parse("\n".join(block))
+                body += ast.increment_lineno(tree, begin).body
+                break
+            except SyntaxError as e:
+                at = min(max((e.lineno or 1) - 1, 0), len(block) - 1)
+                if block[at].strip() in ("", "pass"):
+                    at = next((k for k in (*range(at - 1, -1, -1), *range(len(block) - 1, at, -1)) if block[k].strip() not in ("", "pass")), 0)
+                indent = block[at][: len(block[at]) - len(block[at].lstrip())]
+                block[at] = indent + "pass"
+            except (ValueError, RecursionError):
+                break
+    return ast.Module(body, [])
 
 
 def python_facts(src: str) -> Iterator[dict]:
