@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from orrery.functions import scalars as S
 from orrery.operators.contracts import contracts
 from orrery.operators.resolve import contains_edges, first_wins, unique_references
 from orrery.sources.parsers import FACTS, FIELDS, facts
+from orrery.tables import stored
 
 
 @dataclass
@@ -68,15 +69,23 @@ def provenance(directory: str) -> tuple[str, str]:
     return git("remote", "get-url", "origin"), git("rev-parse", "--short", "HEAD") if ref in ("", "HEAD") else ref
 
 
-def file_table(spark: SparkSession, repos: Iterable[tuple[str, str]]) -> DataFrame:
+def repo_table(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
+    """world, repo_ord, directory: one row and one task per repository."""
+    rows = [(world, k, os.path.abspath(directory)) for k, (world, directory) in enumerate(repos)]
+    return spark.createDataFrame(rows, "world string, repo_ord int, directory string").repartitionByRange(max(1, len(rows)), "repo_ord")
+
+
+def file_table(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
     """world, repo_ord, rel, content of the files of (world, directory) pairs.
 
-    Only paths pass through the driver; executors read the files, which must be
-    on a path that they share.
+    Executors list and read them, a repository's directories in one task and its files
+    in many; the driver holds repositories only. All must be on a path that they share.
     """
-    rows = [(world, k, rel, path) for k, (world, directory) in enumerate(repos) for rel, path in listed(directory)]
-    paths = spark.createDataFrame(rows, model.FILES).where(~S.is_generated(F.col("rel")))
-    tasks = max(1, min(len(rows) // 200 + 1, 10_000))
+
+    def walked(batches):
+        for pdf in batches:
+            rows = [(r.world, r.repo_ord, rel, path) for r in pdf.itertuples() for rel, path in listed(r.directory)]
+            yield type(pdf)(rows, columns=["world", "repo_ord", "rel", "path"])
 
     def read(batches):
         for pdf in batches:
@@ -86,7 +95,53 @@ def file_table(spark: SparkSession, repos: Iterable[tuple[str, str]]) -> DataFra
                     content.append(f.read().decode("utf-8", "replace"))
             yield pdf.assign(content=content)
 
-    return paths.repartition(tasks).mapInPandas(read, "world string, repo_ord int, rel string, content string")
+    paths = stored(repo_table(spark, repos).mapInPandas(walked, model.FILES).where(~S.is_generated(F.col("rel"))), "paths")
+    tasks = max(1, min(paths.count() // 200 + 1, 10_000))
+    return paths.repartition(tasks, "rel", "world").mapInPandas(read, "world string, repo_ord int, rel string, content string")
+
+
+@lru_cache(maxsize=1)
+def yaml_loader():
+    """A safe loader that takes unknown tags for their values, keeps impossible dates as text and refuses repeated keys."""
+    import yaml
+
+    class Plain(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        def construct_mapping(self, node, deep=False):
+            names = [self.construct_object(k, deep=True) for k, _ in node.value if k.tag != "tag:yaml.org,2002:merge"]
+            if len(set(map(repr, names))) < len(names):
+                raise yaml.YAMLError("a key occurs twice")
+            return super().construct_mapping(node, deep)
+
+    def untagged(loader, _, node):
+        if isinstance(node, yaml.MappingNode):
+            return loader.construct_mapping(node, deep=True)
+        return loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else loader.construct_scalar(node)
+
+    def date(loader, node):
+        try:
+            return loader.construct_yaml_timestamp(node)
+        except ValueError:
+            return loader.construct_scalar(node)
+
+    Plain.add_multi_constructor("!", untagged)
+    Plain.add_multi_constructor("tag:", untagged)
+    Plain.add_constructor("tag:yaml.org,2002:timestamp", date)
+    return Plain
+
+
+def first_document(content: str) -> object:
+    """The first YAML document; raises ValueError for malformed text."""
+    import yaml
+
+    loader = None
+    try:
+        loader = yaml_loader()(content)
+        return loader.get_data() if loader.check_data() else None
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError) as e:
+        raise ValueError(f"malformed YAML: {e}") from e
+    finally:
+        if loader is not None:
+            loader.dispose()
 
 
 def structured(route: str, rel: str, content: str) -> list[dict]:
@@ -108,11 +163,9 @@ def structured(route: str, rel: str, content: str) -> list[dict]:
             elif inside or line.startswith("require "):
                 out.append(blank | {"fact": "gomod_require", "value": line if inside else line[8:]})
         return out
-    import yaml
-
     try:
-        doc = yaml.safe_load(content)
-    except yaml.YAMLError:
+        doc = first_document(content)
+    except ValueError:
         return []
     if route == "openapi":
         if not isinstance(doc, dict):
@@ -187,23 +240,32 @@ def references(facts_of: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, repos: list[tuple[str, str]]) -> Graph:
-    """The graph of (world, directory) pairs, without cross edges."""
-    files = file_table(spark, repos)
-    facts_of = fact_table(files).cache()
-    nodes = graph_nodes(facts_of)
+    """The graph of (world, directory) pairs, without cross edges. Facts and nodes become tables, where plans start anew."""
+    for _, directory in repos:
+        os.listdir(directory)  # raises where there is none
+    facts_of = stored(fact_table(file_table(spark, repos)), "facts")
+    nodes = stored(graph_nodes(facts_of), "nodes")
     symbols = nodes.where(F.col("kind").isin("function", "method", "class", "interface")).select("id", "world", "kind", F.when(F.col("kind") == "method", F.substring_index("name", ".", -1)).otherwise(F.col("name")).alias("lookup"))
     edges = contains_edges(nodes).union(unique_references(symbols, references(facts_of)))
-    rows = [(w, d) for w, path in repos for d in directories_of(path)]
-    dirs = spark.createDataFrame(rows, "world string, dir string")
     meta = [(w, *provenance(path)) for w, path in repos]
     return Graph(
-        nodes, edges, spark.createDataFrame([], model.CROSS_EDGES), spark.createDataFrame([(w,) for w, _ in repos], "world string"), dirs,
+        nodes, edges, spark.createDataFrame([], model.CROSS_EDGES), spark.createDataFrame([(w,) for w, _ in repos], "world string"), directory_table(spark, repos),
         spark.createDataFrame([m for m in meta if m[1] or m[2]], "world string, repo_origin string, ref string"),
     )
 
 
+def directory_table(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
+    """(world, dir): where service roots may lie, listed on the executors."""
+
+    def walked(batches):
+        for pdf in batches:
+            yield type(pdf)([(r.world, d) for r in pdf.itertuples() for d in directories_of(r.directory)], columns=["world", "dir"])
+
+    return repo_table(spark, repos).mapInPandas(walked, "world string, dir string")
+
+
 def directories_of(path: str) -> list[str]:
-    """Directories two levels deep, empty ones included: where service roots may lie."""
+    """Directories two levels deep, empty ones included."""
     out = []
     for name in sorted(os.listdir(path)):
         at = os.path.join(path, name)
