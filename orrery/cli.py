@@ -1,4 +1,4 @@
-"""python -m orrery.cli [-world NAME] [-split] [-gravity] REPO..."""
+"""python -m orrery.cli [-world NAME] [-split] [-gravity] [-out FOLDER] REPO..."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from orrery.emit import gravity_json, gravity_report, graph_json
+from orrery.emit import graph_lines, gravity_json, gravity_report, write_tables
 from orrery.operators.resolve import resolve
 from orrery.operators.split import split_worlds
 from orrery.sources.files import Graph, build, world_name
+from orrery.tables import stored
 
 
 def extracted(spark: SparkSession, repos: list[tuple[str, str]], split: bool = False) -> Graph:
@@ -20,8 +21,8 @@ def extracted(spark: SparkSession, repos: list[tuple[str, str]], split: bool = F
     if split:
         nodes, edges, cross = split_worlds(graph.nodes, graph.edges, graph.cross_edges, graph.dirs)
         worlds = graph.worlds.union(nodes.select("world")).distinct().orderBy("world")
-        graph = replace(graph, nodes=nodes, edges=edges, cross_edges=cross, worlds=worlds)
-    return replace(graph, nodes=graph.nodes.cache(), cross_edges=resolve(graph.nodes))
+        graph = replace(graph, nodes=stored(nodes, "nodes"), edges=edges, cross_edges=cross, worlds=worlds)
+    return replace(graph, cross_edges=stored(resolve(graph.nodes), "cross-edges"))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-world", default="")
     parser.add_argument("-split", action="store_true")
     parser.add_argument("-gravity", action="store_true")
+    parser.add_argument("-out", default="", help="write the graph's tables here, from the executors, instead of printing it")
     parser.add_argument("repos", nargs="*")
     args = parser.parse_args(argv)
     if not args.repos or (args.world and len(args.repos) > 1):
@@ -37,7 +39,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("orrery").getOrCreate()
     try:
         graph = extracted(spark, [(args.world or world_name(r), r) for r in args.repos], args.split)
-        print(graph_json(graph))
+        if args.out:
+            write_tables(graph, args.out)
+        else:
+            sys.stdout.writelines(graph_lines(graph))
         if args.gravity:
             print(f"--- gravity ---\n{gravity_json(gravity_report(graph))}", file=sys.stderr)
     except OSError as e:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import textwrap
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -17,24 +19,42 @@ def _dump(value) -> str:
     return text
 
 
-def graph_json(graph: Graph) -> str:
-    """The whole graph in one document. For graphs that fit the driver; else ``write_tables``."""
-    nodes = []
-    for r in graph.nodes.orderBy("repo_ord", "rel_path", "seq", "id").collect():
-        node = {"id": r["id"], "world": r["world"], "kind": r["kind"], "name": r["name"]}
-        if r["metadata"]:
-            node["metadata"] = dict(sorted(r["metadata"].items()))
-        nodes.append(node)
-    cross = [{k: v for k, v in r.asDict().items()} for r in graph.cross_edges.orderBy("protocol", "contract_key", "src", "dst").collect()]
-    out = {
-        "worlds": [r[0] for r in graph.worlds.collect()] or None,
-        "nodes": nodes or None,
-        "edges": [r.asDict() for r in graph.edges.orderBy("src", "dst", "rel").collect()] or None,
-        "cross_edges": cross or None,
+def _entries(rows: Iterator[object]) -> Iterator[str]:
+    """An indented array, or null for none, from values as they come."""
+    opened = False
+    for value in rows:
+        yield ",\n" if opened else "[\n"
+        yield textwrap.indent(_dump(value), "    ")
+        opened = True
+    yield "\n  ]" if opened else "null"
+
+
+def graph_lines(graph: Graph) -> Iterator[str]:
+    """The whole graph in one document, piece by piece: the driver holds one partition at a time."""
+
+    def node(r):
+        out = {"id": r["id"], "world": r["world"], "kind": r["kind"], "name": r["name"]}
+        return out | ({"metadata": dict(sorted(r["metadata"].items()))} if r["metadata"] else {})
+
+    parts = {
+        "worlds": (r[0] for r in graph.worlds.toLocalIterator()),
+        "nodes": (node(r) for r in graph.nodes.orderBy("repo_ord", "rel_path", "seq", "id").toLocalIterator()),
+        "edges": (r.asDict() for r in graph.edges.orderBy("src", "dst", "rel").toLocalIterator()),
+        "cross_edges": (r.asDict() for r in graph.cross_edges.orderBy("protocol", "contract_key", "src", "dst").toLocalIterator()),
     }
-    if graph.world_meta is not None and (meta := graph.world_meta.collect()):
-        out["world_meta"] = {r["world"]: {k: r[k] for k in ("repo_origin", "ref") if r[k]} for r in sorted(meta)}
-    return _dump(out)
+    for k, (name, rows) in enumerate(parts.items()):
+        yield ("{\n" if k == 0 else ",\n") + f'  "{name}": '
+        yield from _entries(rows)
+    meta = [] if graph.world_meta is None else sorted(graph.world_meta.collect())  # a row per repository
+    if meta:
+        found = {r["world"]: {k: r[k] for k in ("repo_origin", "ref") if r[k]} for r in meta}
+        yield ',\n  "world_meta": ' + textwrap.indent(_dump(found), "  ").lstrip()
+    yield "\n}\n"
+
+
+def graph_json(graph: Graph) -> str:
+    """The document as one string, for graphs that fit the driver."""
+    return "".join(graph_lines(graph))
 
 
 def gravity_json(report: DataFrame) -> str:
