@@ -156,7 +156,7 @@ def java_rules() -> list[Column]:
     name, form, _, last, _ = _cols()
     call = form == "call"
     named = F.try_element_at(F.filter("args", lambda a: (a["kind"] == "other") & F.startswith(a["text"], F.lit("HttpMethod."))), F.lit(1))["text"]
-    method = F.when(name == "exchange", S.request_method(named)).otherwise(_map(JAVA_CLIENT, name))
+    method = F.when(name == "exchange", F.when(named.isNotNull(), S.request_method(named))).otherwise(_map(JAVA_CLIENT, name))
     route = F.col("fact") == "route"
     verb = F.when(name == "RequestMapping", F.when(F.col("target").isNull(), "GET").otherwise(S.request_method(F.col("target")))).otherwise(_map(JAVA_ROUTES, name))
     stub = S._service(last, r"^(.+)Grpc\z")

@@ -69,8 +69,8 @@ def local_moves(worlds: list[str], a: np.ndarray, b: np.ndarray, weight: np.ndar
     n = len(worlds)
     ends, others, weights = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
     order = np.argsort(ends, kind="stable")
-    others, weights = others[order], weights[order]
-    first = np.searchsorted(ends[order], np.arange(n + 1))
+    ends, others, weights = ends[order], others[order], weights[order]
+    first = np.searchsorted(ends, np.arange(n + 1))
     degree = np.bincount(ends, weights, n) if len(ends) else np.zeros(n)
     label, held = np.arange(n), degree.copy()
     whole = degree.sum()

@@ -15,6 +15,7 @@ from orrery import model
 from orrery.functions import scalars as S
 from orrery.operators import gravity, resolve, split
 from orrery.operators.contracts import contracts
+from orrery.plans.corpora import CORPUS_QUERIES
 from orrery.sources.files import fact_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,15 +234,45 @@ def host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.alias("p").join(p.alias("q"), (F.col("p.path") == F.col("q.path")) & (F.col("p.w") < F.col("q.w"))).select(F.col("p.w").alias("a"), F.col("q.w").alias("b"), F.lit(1.0).alias("weight"))
 
 
-@query()
+def sql_moves(adjacent: str, worlds: str) -> str:
+    """CTEs for local moving over the CTEs ``adjacent`` (a, b, weight) and ``worlds`` (w): one recursion step per visit.
+
+    ``label`` holds places of worlds in sorted order. A sweep that moves none ends it.
+    """
+    held = "list_sum(list_transform(range(1, n + 1), lambda j: CASE WHEN j <> i AND label[j] = c THEN deg[j] ELSE 0 END))"
+    pull = "list_sum(list_transform(range(1, n + 1), lambda j: CASE WHEN label[j] = c THEN m[i][j] ELSE 0 END))"
+    near = "list_filter(list_distinct(list_transform(list_filter(range(1, n + 1), lambda j: j = i OR m[i][j] > 0), lambda j: label[j])), lambda c: true)"
+    scored = f"list_transform({near}, lambda c: {{'g': -({pull} - {held} * deg[i] / total), 'c': c}})"
+    chosen = f"list_sort(list_append({scored}, {{'g': CAST(0 AS DOUBLE), 'c': i}}))[1]['c']"
+    return f"""ranked AS (SELECT w, row_number() OVER (ORDER BY w) AS k FROM {worlds}),
+cells AS (SELECT x.k AS r, y.k AS c, coalesce(sum(weight), 0) AS v FROM ranked x CROSS JOIN ranked y LEFT JOIN {adjacent} ON (a = x.w AND b = y.w) OR (a = y.w AND b = x.w) GROUP BY 1, 2),
+lines AS (SELECT r, list(v ORDER BY c) AS line, sum(v) AS d FROM cells GROUP BY 1),
+graph AS (SELECT list(line ORDER BY r) AS m, list(d ORDER BY r) AS deg, sum(d) AS total, count(*) AS n FROM lines),
+moves AS (SELECT CAST(0 AS BIGINT) AS visit, CAST(1 AS BIGINT) AS i, (SELECT range(1, n + 1) FROM graph) AS label, false AS moved, false AS done
+UNION ALL SELECT visit + 1, CASE WHEN i = n THEN 1 ELSE i + 1 END, after, CASE WHEN i = n THEN false ELSE moved OR after <> label END, i = n AND NOT (moved OR after <> label)
+FROM (SELECT *, list_concat(list_concat(label[1:i - 1], [best]), label[i + 1:n]) AS after FROM (SELECT *, {chosen} AS best FROM moves, graph WHERE NOT done AND visit < 100 * n AND total > 0))),
+found AS (SELECT x.w AS world, y.w AS community FROM (SELECT unnest(label) AS l, unnest(range(1, n + 1)) AS k FROM (SELECT label FROM moves ORDER BY visit DESC LIMIT 1), graph) JOIN ranked x USING (k) JOIN ranked y ON y.k = l)"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT {SQL_HOST} AS w, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+adj AS (SELECT p.w AS a, q.w AS b, CAST(count(*) AS DOUBLE) AS weight FROM p JOIN p q ON p.path = q.path AND p.w < q.w GROUP BY 1, 2), ws AS (SELECT a AS w FROM adj UNION SELECT b FROM adj),
+{sql_moves("adj", "ws")} SELECT world, community FROM found""")
 def q16_communities(spark, sf_dir):
     adjacent = gravity.adjacency(host_links(spark, sf_dir))
     return gravity.communities(adjacent.select(F.explode(F.array("a", "b")).alias("world")).distinct(), adjacent)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_LINKS}, ws AS (SELECT CAST(n_nationkey AS VARCHAR) AS w FROM nation), {sql_moves("adj", "ws")},
+m AS (SELECT sum(weight) AS m FROM adj), l AS (SELECT x.community AS c, sum(weight) AS l FROM adj JOIN found x ON a = x.world JOIN found y ON b = y.world AND x.community = y.community GROUP BY 1),
+d AS (SELECT community AS c, sum(d) AS d FROM deg JOIN found ON w = world GROUP BY 1), q AS (SELECT sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))) AS q FROM d LEFT JOIN l USING (c), m),
+g AS (SELECT string_agg(world, ' ' ORDER BY world) AS g, count(*) AS size, min(world) AS first FROM found GROUP BY community), e AS (SELECT count(*) AS p FROM adj), n AS (SELECT count(*) AS n FROM ws)
+SELECT (SELECT string_agg(ws.w || ':' || CAST(floor(coalesce(d, 0)) AS BIGINT), ',' ORDER BY coalesce(d, 0) DESC, ws.w) FROM ws LEFT JOIN deg ON deg.w = ws.w) AS masses, (SELECT string_agg(g, '|' ORDER BY size DESC, first) FROM g) AS galaxies,
+trunc(q * 10000 + 0.5) / 10000.0 AS modularity, CAST(p AS INT) AS pair_edges, trunc(p / (n * (n - 1) / 2.0) * 10000 + 0.5) / 10000.0 AS density, n >= 4 AND p / (n * (n - 1) / 2.0) >= 0.5 AND q < 0.2 AS black_hole FROM q, e, n""")
 def q17_gravity_report(spark, sf_dir):
-    return gravity.report_of(nations(spark, sf_dir), gravity.adjacency(nation_links(spark, sf_dir)))
+    report = gravity.report_of(nations(spark, sf_dir), gravity.adjacency(nation_links(spark, sf_dir)))
+    masses = F.array_join(F.transform("worlds", lambda w: F.concat(w["world"], F.lit(":"), F.floor(w["mass"]).cast("string"))), ",")
+    groups = F.array_join(F.transform("galaxies", lambda g: F.array_join(g, " ")), "|")
+    return report.select(masses.alias("masses"), groups.alias("galaxies"), "modularity", "pair_edges", "density", "black_hole")
 
 
 @query(f"""WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'SELECT a FROM ' || replace(p_brand, '#', '_') || ' JOIN pg_x WHERE 1' WHEN 1 THEN 'insert into ' || lower(split_part(p_type, ' ', 1)) || '.items VALUES'
@@ -344,3 +375,7 @@ def q26_code_contracts(spark, sf_dir):
     sources = F.array(*[F.struct(F.lit(rel).alias("rel"), F.replace(F.lit(src.format(b="@@")), F.lit("@@"), brand).alias("content")) for rel, src, _ in CODE.values()])
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("world"), F.lit(0).alias("repo_ord"), F.explode(sources).alias("f")).select("world", "repo_ord", "f.*")
     return contracts(fact_table(files)).select("world", "rel", "kind", "key")
+
+
+for _name, (_query, _sql) in CORPUS_QUERIES.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _query, _sql

@@ -216,8 +216,8 @@ def go_facts(src: str) -> Iterator[dict]:
     t, i, out = s.t, 0, []
     while i < len(t):
         if s.is_(i, "import"):
-            end = s.close(i + 1) if s.is_(i + 1, "(") else i + 3
-            out += [fact("import", value=x.value) for x in t[i + 1 : end] if x.kind == "str"][: None if s.is_(i + 1, "(") else 1]
+            end = s.close(i + 1) if s.is_(i + 1, "(") else next((k for k in (i + 1, i + 2) if s.kind(k) == "str"), i)
+            out += [fact("import", value=x.value) for x in t[i + 1 : end + 1] if x.kind == "str"]
             i = end
         elif s.is_(i, "func"):
             j, receiver = i + 1, None
@@ -492,7 +492,11 @@ def _type(s: Source, i: int, kind: str, base: str, notes: list, out: list[dict])
         j += 1
     if j >= len(s.t) or s.is_(j, ";"):
         return j + 1
-    _members(s, j, name, own, out)
+    known = len(s.bodies)
+    enum = s.lang == "java" and s.is_(i, "enum")
+    _members(s, j, name, own, [] if enum else out)
+    if enum:  # what a Java enum holds is no declaration
+        del s.bodies[known:]
     return s.close(j) + 1
 
 

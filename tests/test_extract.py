@@ -1,183 +1,89 @@
+"""Extraction beside the corpus queries: single files, repositories on disk, the stream."""
+
 from __future__ import annotations
 
 import subprocess
+from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from orrery.cli import extracted
 from orrery.emit import graph_json, gravity_json, gravity_report, write_tables
 from orrery.operators.contracts import contracts
+from orrery.plans import corpora
 from orrery.sources.files import fact_table, provenance, world_name
-
-GO = """package main
-import ("fmt"; "net/http")
-type Handler interface { Serve() }
-type Server struct { n int }
-type handlerImpl struct{}
-func New() *Server { return helper() }
-func helper() *Server { return nil }
-func (s *Server) Start() { s.setup() }
-func (s *Server) setup() {}
-func (h handlerImpl) Start() {}
-func routes() {
-    mux.HandleFunc("/users/{id}", h); mux.HandleFunc("POST /orders", h); r.GET("/products/:id", h); r.Post("/products", h); cache.Get("key")
-    http.Get("http://catalog/products/7"); http.NewRequest("POST", base+"/products", nil); http.NewRequestWithContext(ctx, "GET", fmt.Sprintf("x"), nil)
-    nc.Publish("orders.created", b); nc.Subscribe("Shipments.Ready", f); kafka.NewReader(kafka.ReaderConfig{Topic: "payments"})
-    pb.RegisterProductCatalogServiceServer(s, srv); pb.NewShippingServiceClient(c); NewMockAuthClient(c)
-    os.Getenv("DATABASE_URL"); os.LookupEnv("REDIS_ADDR"); db.Query(`SELECT * FROM orders JOIN order_items`)
-}
-"""
-PY = '''import os
-from mypkg.sub import thing
-class Server(Base):
-    def start(self):
-        self.stop(); make_server()
-    def stop(self): pass
-def make_server():
-    """Select one from the many."""
-    requests.get(f"http://users/users/{uid}"); httpx.post("http://catalog/products", json={})
-    producer.send("Orders.Created", 1); c.subscribe(["events.a", "events.b"]); KafkaConsumer("payments")
-    os.environ["DATABASE_URL"]; os.environ.get("REDIS_ADDR"); os.getenv("KAFKA_BROKER")
-    pb_grpc.ShippingServiceStub(ch); pb_grpc.add_CatalogServicer_to_server(x, s)
-@app.get("/products/{id}")
-def a(): pass
-@app.route("/legacy", methods=["POST", "PUT"])
-def b(): pass
-'''
-TS = """import axios from 'axios';
-export interface Widget { start(): void }
-export class Server extends Base implements Widget {
-  start(): void { this.setup(); helper(); }
-  setup() {}
-  go = () => { helper(); };
-}
-export function helper() {
-  app.get('/products/:id', h); router.post("/orders", h); axios.get(`${base}/items/${id}`); fetch(base + "/users/" + id); axios.post("http://c/products");
-  producer.send({ topic: 'payments', messages: [] }); consumer.subscribe({ topic: "audit" }); nc.publish("Orders.Created", x);
-  process.env.DATABASE_URL; process.env["REDIS_ADDR"]; new pb.ShippingServiceClient(url); db.query("SELECT id FROM accounts");
-}
-"""
-JAVA = """package p;
-import io.grpc.Server;
-@RequestMapping("/api/v1")
-public class AdService extends AdServiceGrpc.AdServiceImplBase implements Worker {
-  @GetMapping("/users/{id}") public String start(String id) { return helper(); }
-  @RequestMapping(value = "/users", method = RequestMethod.POST) public void add() { }
-  private String helper() { restTemplate.getForObject("http://catalog/products/7", String.class); rest.exchange(url + "/items/" + n, HttpMethod.DELETE, e, X.class); return System.getenv("REDIS_ADDR"); }
-  public AdService() { ShippingServiceGrpc.newBlockingStub(ch); kafka.send(new ProducerRecord<>("orders.created", v)); }
-  @KafkaListener(topics = {"events.a", "events.b"}) void on(String m) { jdbc.query("select * from customers", r); }
-}
-interface Worker { void start(); }
-enum Color { RED }
-"""
-CS = """using System;
-namespace N.M {
-  [Route("/users")]
-  public class CartService : Cart.CartServiceBase, IWorker {
-    [HttpGet("{id}")] public async Task<int> Start(int id) { await Helper(); return 1; }
-    [HttpDelete("/absolute/{id}")] public void Del(int id) { }
-    void Helper() { client.GetAsync($"{b}/products/{id}"); http.PostAsJsonAsync("http://c/orders", o); p.ProduceAsync("orders.created", m); c.Subscribe("shipments.ready"); Environment.GetEnvironmentVariable("REDIS_ADDR"); var x = Configuration["DB_PORT"]; new Shipping.ShippingClient(ch); db.Run("SELECT 1 FROM orders"); }
-    public CartService() { app.MapGet("/health", f); }
-  }
-  interface IWorker { }
-}
-"""
-
-
-def keys(spark, rel, content, is_test=False):
-    files = spark.createDataFrame([("w", 0, rel, content)], "world string, repo_ord int, rel string, content string")
-    return {(r["kind"], r["key"]) for r in contracts(fact_table(files)).collect()}
-
-
-EXPECTED = {
-    ("main.go", GO): {
-        "http_endpoint": {"GET /users/{}", "POST /orders", "GET /products/{}", "POST /products"}, "http_client": {"GET /products/{}", "POST /products"},
-        "topic_producer": {"orders.created"}, "topic_consumer": {"shipments.ready", "payments"}, "grpc_service": {"ProductCatalogService"}, "grpc_client": {"ShippingService"},
-        "config_key": {"DATABASE_URL", "REDIS_ADDR"}, "data_entity": {"orders", "order_items"},
-    },
-    ("app.py", PY): {
-        "http_endpoint": {"GET /products/{}", "POST /legacy", "PUT /legacy"}, "http_client": {"GET /users/{}", "POST /products"}, "topic_producer": {"orders.created"},
-        "topic_consumer": {"events.a", "events.b", "payments"}, "config_key": {"DATABASE_URL", "REDIS_ADDR", "KAFKA_BROKER"}, "grpc_client": {"ShippingService"}, "grpc_service": {"Catalog"}, "data_entity": {"the"},
-    },
-    ("a.ts", TS): {
-        "http_endpoint": {"GET /products/{}", "POST /orders"}, "http_client": {"GET /items/{}", "GET /users/{}", "POST /products"}, "topic_producer": {"payments", "orders.created"}, "topic_consumer": {"audit"},
-        "config_key": {"DATABASE_URL", "REDIS_ADDR"}, "grpc_client": {"ShippingService"}, "data_entity": {"accounts"},
-    },
-    ("A.java", JAVA): {
-        "http_endpoint": {"GET /v1/users/{}", "POST /v1/users"}, "http_client": {"GET /products/{}", "DELETE /items/{}"}, "config_key": {"REDIS_ADDR"}, "grpc_service": {"AdService"}, "grpc_client": {"ShippingService"},
-        "topic_producer": {"orders.created"}, "topic_consumer": {"events.a", "events.b"}, "data_entity": {"customers"},
-    },
-    ("A.cs", CS): {
-        "http_endpoint": {"GET /users/{}", "DELETE /absolute/{}", "GET /health"}, "http_client": {"GET /products/{}", "POST /orders"}, "topic_producer": {"orders.created"}, "topic_consumer": {"shipments.ready"},
-        "config_key": {"REDIS_ADDR", "DB_PORT"}, "grpc_client": {"Shipping"}, "data_entity": {"orders"},
-    },
-}
-
-
-@pytest.mark.parametrize("case", EXPECTED, ids=lambda c: c[0])
-def test_contracts(spark, case):
-    assert keys(spark, *case) == {(k, n) for k, names in EXPECTED[case].items() for n in names}
-
-
-def test_structured_files(spark):
-    spec = "openapi: 3.0.0\npaths:\n  /users/{id}:\n    get: {}\n    delete: {}\n    parameters: []\n  x-other: {}\n"
-    assert keys(spark, "api/openapi.yaml", spec) == {("http_endpoint", "GET /users/{}"), ("http_endpoint", "DELETE /users/{}")}
-    assert keys(spark, "testdata/spec.json", '{\n "swagger": "2.0", "paths": {"/products/{id}": {"GET": {}}}}') == {("http_endpoint", "GET /products/{}")}
-    assert keys(spark, "openapi.yaml", "a: [") == set()
-    assert keys(spark, "charts/cart/Chart.yaml", "version: 1") == {("service", "cart")}
-    assert keys(spark, "c/Chart.yaml", "name: Auth-headless") == {("service", "auth")}
-    values = "env:\n  AUTH_ADDR: auth:80\n  NAME: x\nlist:\n  - DB_HOST: http://postgres.ns/x\n  - name: Y_HOST\n    value: z\n"
-    assert keys(spark, "values-prod.yml", values) == {("service_ref", "auth"), ("service_ref", "postgres")}
-    mod = "module example.com/a\n\nrequire example.com/b v1.0.0\nrequire (\n\texample.com/c v2 // why\n\texample.com/d v1 // indirect\n)\n"
-    assert keys(spark, "go.mod", mod) == {("package_publish", "example.com/a"), ("package_dep", "example.com/b"), ("package_dep", "example.com/c")}
-    assert keys(spark, "a.proto", "package oteldemo; service S { rpc Get(A) returns (B) {} rpc List(A) returns (B); }") == {("schema", "S")}
+from orrery.sources.parsers import python_facts
+
+
+def keys(spark, *sources):
+    files = spark.createDataFrame([("w", 0, rel, text) for rel, text in sources], corpora.FILES)
+    return {(r["rel"], r["kind"], r["key"]) for r in contracts(fact_table(files)).collect()}
+
+
+def test_yaml(spark):
+    spec = "openapi: 3.0.0\npaths:\n  /tides/{port}: {get: {}}\n"
+    cases = {
+        "a/openapi.yaml": spec + "---\npaths: {/later: {put: {}}}\n",
+        "b/openapi.yaml": spec + "---\n[broken\n",
+        "c/openapi.yaml": spec + "  /tides/{port}: {put: {}}\n",
+        "d/openapi.yaml": spec + "info: {built: 2024-02-31, by: !team tide}\n",
+        "e/openapi.yaml": spec + "x: [\n",
+        "f/openapi.yaml": "openapi: 3.0.0\npaths: [1, 2]\n",
+        "g/openapi.yaml": "",
+        "h/values.yaml": "when: 2024-02-31\nTIDE_HOST: !secret tide\n? [a, b]\n: c\n",
+        "i/values.yaml": "TIDE_HOST: 2024-02-31\n",
+        "j/values-x.yml": "A_HOST: moon\nB_HOST: moon\n---\nC_HOST: sun\n",
+        "k/Chart.yaml": "- not\n- a map\n",
+        "l/Chart.yaml": "name: [\n",
+    }
+    got = keys(spark, *cases.items())
+    endpoint = "GET /tides/{}"
+    assert got == {*[(f"{x}/openapi.yaml", "http_endpoint", endpoint) for x in "abd"], ("j/values-x.yml", "service_ref", "moon"), ("i/values.yaml", "service_ref", "2024-02-31"), ("k/Chart.yaml", "service", "k")}
 
 
 def test_tests_and_generated_files_give_no_contracts(spark):
-    assert keys(spark, "main_test.go", GO) == set()
-    assert keys(spark, "x.pb.go", GO) == set()
-    assert keys(spark, "a/node_modules/b.ts", TS) == set()
+    go = corpora.SOURCES["dome/wire.go"]
+    rels = ["dome/wire_test.go", "src/test/wire.go", "dome/wire.pb.go", "vendor/wire.go", "a/.hidden/wire.go"]
+    assert keys(spark, *[(r, go) for r in rels]) == set()
+
+
+def test_broken_python_keeps_what_parses():
+    lines = ["def first():\n    os.getenv('A')", *[f"bad line {k} ((" for k in range(400)], 's = """\ndef inside(): pass\n"""', "@app.get('/moons')\ndef second(): pass", "class Third:\n    def whole(self): os.getenv('B')\n    def half(self: pass"]
+    got = list(python_facts("\n".join(lines)))
+    assert [f["name"] for f in got if f["fact"] == "decl"] == ["first", "second", "Third", "Third.whole"]
+    assert [f["args"][0]["lit"] for f in got if f["fact"] == "call"] == ["A", "/moons", "/moons", "B"]
 
 
 @pytest.fixture
 def repos(tmp_path):
-    (tmp_path / "a/cmd/cart").mkdir(parents=True)
-    (tmp_path / "b/.git2").mkdir(parents=True)
-    (tmp_path / "a/cmd/cart/main.go").write_text(GO)
-    (tmp_path / "a/__init__.py").write_text("")
-    for name, text in (("app.py", PY), ("a.ts", TS), ("A.java", JAVA), ("A.cs", CS), (".git2/x.py", PY), ("broken.py", "def ok():\n    pass\nclass (:\n")):
-        (tmp_path / "b" / name).write_text(text)
-    return [("a", str(tmp_path / "a")), ("b", str(tmp_path / "b"))]
+    for world, sources in corpora.REPOS.items():
+        for rel, text in sources.items():
+            at = tmp_path / world / rel
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text)
+    return [(w, str(tmp_path / w)) for w in corpora.REPOS]
 
 
 def test_end_to_end(spark, repos, tmp_path):
     graph = extracted(spark, repos)
-    got = {(r["id"], r["kind"]) for r in graph.nodes.where(F.col("kind").isin("file", "class", "interface", "function", "method")).collect()}
-    go = "a::cmd/cart/main.go"
-    want = {
-        (go, "file"), (f"{go}::Server", "class"), (f"{go}::handlerImpl", "class"), (f"{go}::Handler", "interface"), (f"{go}::New", "function"), (f"{go}::helper", "function"), (f"{go}::routes", "function"),
-        (f"{go}::Server.Start", "method"), (f"{go}::Server.setup", "method"), (f"{go}::handlerImpl.Start", "method"), ("a::__init__.py", "file"), ("b::broken.py", "file"), ("b::broken.py::ok", "function"),
-        ("b::app.py", "file"), ("b::app.py::Server", "class"), ("b::app.py::Server.start", "method"), ("b::app.py::Server.stop", "method"), ("b::app.py::make_server", "function"), ("b::app.py::a", "function"), ("b::app.py::b", "function"),
-        ("b::a.ts", "file"), ("b::a.ts::Widget", "interface"), ("b::a.ts::Server", "class"), ("b::a.ts::Server.start", "method"), ("b::a.ts::Server.setup", "method"), ("b::a.ts::helper", "function"),
-        ("b::A.java", "file"), ("b::A.java::AdService", "class"), ("b::A.java::AdService.start", "method"), ("b::A.java::AdService.add", "method"), ("b::A.java::AdService.helper", "method"), ("b::A.java::AdService.on", "method"), ("b::A.java::Worker", "interface"), ("b::A.java::Worker.start", "method"), ("b::A.java::Color", "class"),
-        ("b::A.cs", "file"), ("b::A.cs::CartService", "class"), ("b::A.cs::CartService.Start", "method"), ("b::A.cs::CartService.Del", "method"), ("b::A.cs::CartService.Helper", "method"), ("b::A.cs::IWorker", "interface"),
-    }
-    assert got == want
-    meta = {r["id"]: r["metadata"] for r in graph.nodes.where("kind = 'file'").collect()}
-    assert meta[go] == {"imports": "fmt net/http"} and meta["b::app.py"] == {"imports": "os mypkg.sub"} and meta["b::A.java"] == {"imports": "io.grpc.Server"}
-    edges = {tuple(r) for r in graph.edges.where("rel != 'contains'").collect()}
-    assert {(f"{go}::New", f"{go}::helper", "calls"), (f"{go}::Server.Start", f"{go}::Server.setup", "calls"), ("b::a.ts::Server", "b::a.ts::Widget", "implements"), ("b::A.java::AdService", "b::A.java::Worker", "implements"), ("b::A.cs::CartService", "b::A.cs::IWorker", "implements")} <= edges | {("b::A.java::AdService", "b::A.java::Worker", "implements")}
-    assert graph.edges.where("rel = 'contains'").count() == graph.nodes.where("kind != 'file'").count()
-    assert {r["rel"] for r in graph.cross_edges.collect()} >= {"http_call", "publishes_to", "reads_config", "shares_table"}
-    assert '"worlds"' in graph_json(graph) and '"black_hole"' in gravity_json(gravity_report(graph))
+    assert {tuple(r) for r in graph.nodes.select("id", "kind").collect()} == set(corpora.NODES)
+    assert {tuple(r) for r in graph.edges.collect()} == set(corpora.EDGES)
+    assert {tuple(r) for r in graph.cross_edges.collect()} == set(corpora.CROSS)
+    assert '"worlds": [\n    "relay"' in graph_json(graph)
+    assert '"pair_edges": 1' in gravity_json(gravity_report(graph))
     write_tables(graph, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/nodes")).count() == graph.nodes.count()
 
 
 def test_split_on_directories(spark, repos):
+    (Path(repos[0][1]) / "cmd/empty").mkdir()
     graph = extracted(spark, repos, split=True)
-    assert {r[0] for r in graph.worlds.collect()} == {"a", "b", "cart"}
+    assert {r[0] for r in graph.worlds.collect()} == {"relay", "pier", "mast"}
+
+
+def test_missing_repository(spark, tmp_path):
+    with pytest.raises(OSError):
+        extracted(spark, [("w", str(tmp_path / "nowhere"))])
 
 
 def test_provenance_and_world_name(tmp_path):
@@ -193,7 +99,7 @@ def test_provenance_and_world_name(tmp_path):
 def test_stream(spark, tmp_path):
     from orrery.streaming.incremental import start
 
-    schema = "world string, repo_ord int, rel string, content string"
-    spark.createDataFrame([("w", 0, "main.go", GO)], schema).write.parquet(str(tmp_path / "in"))
-    start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {(r["kind"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == keys(spark, "main.go", GO)
+    go = ("dome/wire.go", corpora.SOURCES["dome/wire.go"])
+    spark.createDataFrame([("w", 0, *go)], corpora.FILES).write.parquet(str(tmp_path / "in"))
+    start(spark.readStream.schema(corpora.FILES).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert {(r["rel"], r["kind"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == keys(spark, go)

@@ -81,3 +81,36 @@ def test_split_roots_at_many_depths(spark):
     n = spark.createDataFrame([(f"r::{d}/a.go", "r", "file", d) for d in dirs], "id string, world string, kind string, name string")
     roots = spark.createDataFrame([("r", d, f"s{k}") for k, d in enumerate(dirs)], "world string, dir string, name string")
     assert {r["sub"] for r in split.renamed(n, roots).collect()} == {f"s{k}" for k in range(70)}
+
+
+def test_local_moves_against_the_rules_word_by_word():
+    import random
+
+    import numpy as np
+
+    def plain(n, w):
+        degree = [sum(row) for row in w]
+        total, label = sum(degree), list(range(n))
+        for _ in range(100 if total else 0):
+            before = list(label)
+            for i in range(n):
+                choice, most = i, 0.0
+                for c in sorted({label[i], *(label[j] for j in range(n) if w[i][j])}):
+                    pull = sum(w[i][j] for j in range(n) if j != i and label[j] == c)
+                    gain = pull - sum(degree[j] for j in range(n) if j != i and label[j] == c) * degree[i] / total
+                    if gain > most or (gain == most and c < choice):
+                        choice, most = c, gain
+                label[i] = choice
+            if label == before:
+                break
+        return label
+
+    for seed in range(400):
+        draw = random.Random(seed)
+        n = draw.randint(1, 10)
+        w = [[0.0] * n for _ in range(n)]
+        links = [(i, j, draw.randint(1, 8) / 2) for i, j in combinations(range(n), 2) if draw.random() < draw.choice([0.2, 0.6, 1])]
+        for i, j, x in links:
+            w[i][j] = w[j][i] = x
+        a, b, x = np.array(links, float).reshape(-1, 3).T
+        assert gravity.local_moves([str(i) for i in range(n)], a.astype(int), b.astype(int), x).tolist() == plain(n, w)
