@@ -1,22 +1,33 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each text becomes a vector of transformed statistics (``FEATURES``). For each
-group of (language, source) a minimum-covariance-determinant estimate is found by
-concentration steps: start from medians and quartiles, then again and again take
-the ``CENTRAL`` share of rows that lie nearest and fit mean and covariance to
-them. Rows whose squared Mahalanobis distance exceeds ``CUT`` are rejected.
+group of (language, source) the minimum-covariance-determinant estimate is sought as
+FAST-MCD does it: of ``SAMPLE`` rows drawn by a hash, starts (distances from the medians,
+and ``SUBSETS`` small random subsets) take ``EARLY`` concentration steps, and those of the
+least determinants go on until they settle. The ``BEST`` two of them then take
+concentration steps over all rows of the group, again until the determinant settles;
+the least one wins. A step takes the ``CENTRAL`` share of rows that lie nearest and
+fits mean and covariance to them, which can only lower the determinant. One
+reweighting step follows: mean and covariance of all rows within ``NEAR``. Rows whose
+squared Mahalanobis distance exceeds ``CUT`` are rejected.
+
+A group's estimate is drawn to that of all groups together by the weight of
+``PRIOR`` rows, so that small groups have one of their own too, and none is
+treated in another way.
 
 The texts are read once; the statistics are written to the shared checkpoint
-folder, and every step over them is a mergeable aggregate (sums of products,
-quantile sketches), so that a group with a third of all rows is combined on the
-map side and never gathered. The estimates are one row per group; they are
-broadcast up to ``MAX_BROADCAST_GROUPS`` groups and joined by key beyond.
+folder. A step over all rows is one pass that adds up rows, sums and products by
+group, start and bin of the distance: the bins up to the wanted share are the core.
+These sums combine on the map side, so a group with a third of all rows is never
+gathered, and no task gets more than the bins of a group. The estimates are one row
+per group; they are broadcast up to ``MAX_BROADCAST_GROUPS`` groups and joined by
+key beyond.
 
 Edge cases: a null text has no words, fails the base rules and is not kept; null
-lang or source form groups of their own; groups under ``MIN_ROWS`` rows share one
-pooled estimate, and if that is still too small only the base rules decide. Texts
-that fail the base rules take no part in the estimates. Repeated rows come back
-as often as they came; an empty table gives no rows. Extra columns aren't read.
+lang or source form groups of their own. Texts that fail the base rules take no
+part in the estimates; a group without others has no estimate, and a null distance.
+Repeated rows come back as often as they came; an empty table gives no rows. Extra
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,20 +36,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import checkpointed, without
+from orrery.llm.shared import ROW, checkpointed, drop, row_hash, without_rows
 from orrery.llm.text import alnum_table, code_points, map_texts, not_ascii_space, span_hashes, spans, window_hashes
 
 #: Transformed statistics; each with the variance's square root that is added to its own,
-#: so that a statistic that is constant in most texts still has a scale.
-FEATURES = {"log_words": 0.5, "log_word_len": 0.08, "symbols": 0.2, "punct": 0.35, "upper": 0.5, "dup_lines": 0.5, "repeats": 0.1, "stutter": 0.1}
-CENTRAL = 0.75
-#: Makes the covariance of the central 0.75 consistent for 8 normal variables.
-CONSISTENCY = 1.3
-STEPS = 3
-MIN_ROWS = 100
+#: so that a statistic that is constant in most texts still has a scale. Each is small
+#: enough for the statistic's greatest value to be rejected by itself.
+FEATURES = {"log_words": 0.5, "log_word_len": 0.08, "symbols": 0.2, "punct": 0.35, "upper": 0.5, "dup_lines": 0.39, "repeats": 0.049, "stutter": 0.1}
+CENTRAL = 0.5
+#: Make the covariances of the central half, and of what lies within NEAR, consistent for 8 normal variables.
+CONSISTENCY, NEAR_CONSISTENCY = 1.626, 1.041
+#: Chi-square with 8 degrees of freedom stays below with probability 0.975, and 0.99999.
+NEAR, CUT = 17.535, 37.33
+#: Rows of a group (in expectation) in which starts are tried; random subsets of SUBSET rows each.
+SAMPLE, SUBSETS, SUBSET = 1_500, 20, 16
+EARLY, FEW, BEST = 2, 4, 2
+#: A start has settled when a step lowers the logarithm of its determinant by less.
+SETTLED = 1e-3
+#: Settling takes a few steps; this many end it whatever happens.
+MOST_STEPS = 40
+PRIOR = 50.0
+#: Bins of the squared distance for each doubling.
+DOUBLING_BINS = 8
 MAX_BROADCAST_GROUPS = 20_000
-#: Chi-square with 8 degrees of freedom stays below with probability 0.99999.
-CUT = 37.33
 SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint32)
 
 
@@ -117,69 +137,169 @@ def _distance(center: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _with_model(stats: DataFrame, model: DataFrame, n_groups: int) -> DataFrame:
+def _bin(distance: Column) -> Column:
+    return F.greatest(F.least(F.floor(F.log2(F.greatest(distance, F.lit(1e-9))) * DOUBLING_BINS), F.lit(20 * DOUBLING_BINS)), F.lit(-8 * DOUBLING_BINS)).cast("int")
+
+
+def _with_model(rows: DataFrame, model: DataFrame, few: bool, how: str = "inner") -> DataFrame:
     """Each row with its group's columns of ``model``."""
-    return stats.join(F.broadcast(model) if n_groups <= MAX_BROADCAST_GROUPS else model, "grp")
+    return rows.join(F.broadcast(model) if few else model, "grp", how)
 
 
-def _inverted(moments: DataFrame) -> DataFrame:
-    """grp, center, inverse from one row of means of features and of products per group."""
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows, sums and sums of products of the features: bounded rows per group, whatever its size."""
     names = list(FEATURES)
-    p = len(names)
-    floor = np.diag(np.array(list(FEATURES.values())) ** 2)
+    sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(names)]
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
+    return rows.groupBy("grp", *by).agg(F.count("*").cast("double").alias("n"), *sums, *products)
+
+
+def _mean_and_covariance(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From a row of n, sums and products."""
+    p = len(FEATURES)
+    mean = total[1 : 1 + p] / total[0]
+    second = np.zeros((p, p))
+    second[np.triu_indices(p)] = total[1 + p :] / total[0]
+    return mean, second + second.T - np.diag(np.diag(second)) - np.outer(mean, mean)
+
+
+FLOOR = np.diag(np.array(list(FEATURES.values())) ** 2)
+MODEL = "grp string, start int, center array<double>, inverse array<double>, logdet double, settled boolean"
+COLUMNS = [c.split()[0] for c in MODEL.split(", ")]
+
+
+def _fit(mean: np.ndarray, covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, inverse and logarithm of the determinant of the estimate from a core."""
+    full = CONSISTENCY * covariance + FLOOR
+    return mean, np.linalg.inv(full), float(np.linalg.slogdet(full)[1])
+
+
+def squared(x: np.ndarray, center: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    off = x - center
+    return np.einsum("ij,jk,ik->i", off, inverse, off)
+
+
+def concentrated(x: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The estimate from the central share of rows by ``distance``."""
+    core = x[distance <= np.partition(distance, int(np.ceil(CENTRAL * len(x))) - 1)[int(np.ceil(CENTRAL * len(x))) - 1]]
+    return _fit(core.mean(axis=0), np.cov(core.T, bias=True).reshape(x.shape[1], x.shape[1]))
+
 
-    def invert(batches):
+def settled(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    for _ in range(MOST_STEPS):
+        step = concentrated(x, squared(x, *model[:2]))
+        if model[2] - step[2] < SETTLED:
+            return min(step, model, key=lambda m: m[2])
+        model = step
+    return model
+
+
+def searched(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The best models of a sample's rows, found from many starts."""
+    x = x[np.lexsort(x.T)]  # the order of rows doesn't matter
+    middle = np.median(x, axis=0)
+    low, high = np.quantile(x, [0.25, 0.75], axis=0)
+    z = (x - middle) / np.maximum((high - low) / 1.349, list(FEATURES.values()))
+    models = [concentrated(x, d) for d in ((z * z).sum(axis=1), np.abs(z).max(axis=1), (np.tanh(z) ** 2).sum(axis=1))]
+    draw = np.random.default_rng(len(x))
+    for _ in range(SUBSETS):
+        some = x[draw.integers(0, len(x), SUBSET)]
+        models.append(_fit(some.mean(axis=0), np.cov(some.T, bias=True).reshape(x.shape[1], x.shape[1])))
+    for _ in range(EARLY):
+        models = [concentrated(x, squared(x, *m[:2])) for m in models]
+    best = sorted((settled(x, m) for m in sorted(models, key=lambda m: m[2])[:FEW]), key=lambda m: m[2])
+    others = [m for m in best[1:] if np.abs(m[0] - best[0][0]).max() > 1e-6]
+    return [best[0], *others[: BEST - 1]]
+
+
+def _started(usable: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+    """The models of each group's sample, their determinants yet to be found over all rows."""
+    # a draw by row: copies of a text, which agree in all features, must not be drawn as one
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).cast("double")
+    rows = _with_model(usable.withColumn("draw", draw), sizes, few).where(F.col("draw") * F.col("n") <= F.lit(float(SAMPLE * (1 << 30))))
+
+    def search(pdf):
+        found = searched(pdf[list(FEATURES)].to_numpy(float))
+        return type(pdf)([(pdf["grp"].iloc[0], k, m[0].tolist(), m[1].ravel().tolist(), float("inf"), False) for k, m in enumerate(found)], columns=COLUMNS)
+
+    return checkpointed(rows.select("grp", *FEATURES).groupBy("grp").applyInPandas(search, MODEL), "estimates")
+
+
+def _stepped(usable: DataFrame, model: DataFrame, few: bool) -> DataFrame:
+    """``model`` after a concentration step, over all rows, of the starts that have not settled."""
+
+    def fit(pdf):
+        out = []
+        for start, rows in pdf.sort_values("bin").groupby("start"):
+            values = rows[[c for c in rows.columns if c not in ("grp", "start", "bin", "logdet")]].to_numpy(float)
+            held = np.cumsum(values[:, 0])
+            core = values[: int(np.searchsorted(held, CENTRAL * held[-1])) + 1].sum(axis=0)
+            mean, inverse, logdet = _fit(*_mean_and_covariance(core))
+            out.append((rows["grp"].iloc[0], start, mean.tolist(), inverse.ravel().tolist(), logdet, bool(rows["logdet"].iloc[0] - logdet < SETTLED)))
+        return type(pdf)(out, columns=COLUMNS)
+
+    each = _with_model(usable, model.where("not settled"), few).select("grp", "start", "logdet", *FEATURES, _bin(_distance(F.col("center"), F.col("inverse"))).alias("bin"))
+    step = _moments(each, "start", "logdet", "bin").groupBy("grp").applyInPandas(fit, MODEL)
+    out = checkpointed(model.where("settled").union(step), "estimates")
+    drop(model)
+    return out
+
+
+def estimates(usable: DataFrame) -> DataFrame:
+    """grp, center, inverse of each group of ``usable`` (grp and the features)."""
+    sizes = checkpointed(usable.groupBy("grp").agg(F.count("*").alias("n")), "groups")
+    few = sizes.count() <= MAX_BROADCAST_GROUPS
+    model = _started(usable, sizes, few)
+    for _ in range(MOST_STEPS):
+        model = _stepped(usable, model, few)
+        if not model.where("not settled").limit(1).count():
+            break
+    least = F.struct("logdet", "start")
+    least = model.groupBy("grp").agg(F.min_by("center", least).alias("center"), F.min_by("inverse", least).alias("inverse"))
+    near = _with_model(usable, least, few).where(_distance(F.col("center"), F.col("inverse")) <= NEAR)
+    own = checkpointed(_moments(near), "moments")
+    sums = [c for c in own.columns if c != "grp"]
+    # one row: all groups' rows together
+    every = np.array(own.agg(*[F.sum(c).alias(c) for c in sums]).first(), float)
+    empty = F.lit(None).cast("array<double>")
+    if not np.isfinite(every[0]):
+        return own.select("grp", empty.alias("center"), empty.alias("inverse"))
+    middle, spread = _mean_and_covariance(every)
+
+    def drawn(batches):
         for pdf in batches:
             center, inverse = [], []
-            for row in pdf.itertuples(index=False):
-                mu = np.array(row[1 : 1 + p])
-                second = np.zeros((p, p))
-                second[np.triu_indices(p)] = row[1 + p :]
-                second = second + second.T - np.diag(np.diag(second))
-                inverse.append(np.linalg.inv(CONSISTENCY * (second - np.outer(mu, mu)) + floor).ravel().tolist())
-                center.append(mu.tolist())
+            for total in pdf[sums].to_numpy(float):
+                mean, covariance = _mean_and_covariance(total)
+                part = PRIOR / (total[0] + PRIOR)
+                off = mean - middle
+                mixed = (1 - part) * covariance + part * spread + part * (1 - part) * np.outer(off, off)
+                center.append((mean - part * off).tolist())
+                inverse.append(np.linalg.inv(NEAR_CONSISTENCY * mixed + FLOOR).ravel().tolist())
             yield pdf[["grp"]].assign(center=center, inverse=inverse)
 
-    return moments.mapInPandas(invert, "grp string, center array<double>, inverse array<double>")
+    return checkpointed(own.mapInPandas(drawn, "grp string, center array<double>, inverse array<double>"), "model")
 
 
-def judged(docs: DataFrame, key: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """key, the statistics, ``distance`` (null where there is no estimate), base_failed and kept."""
-    names = list(FEATURES)
+def judged(docs: DataFrame, key: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``keep``, the statistics, ``distance`` (null where there is no estimate), base_failed and kept."""
     kinds = dict(docs.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, `{source}` {kinds[source]}, {STAT_SCHEMA}"
-    rows = checkpointed(map_texts(docs, statistics, schema, [key, lang, source], text), "statistics")
-    own = F.to_json(F.array(F.col(lang).cast("string"), F.col(source).cast("string")))
-    sizes = checkpointed(rows.withColumn("own", own).where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("rows")), "groups")
-    large = sizes.where(F.col("rows") >= MIN_ROWS).select("own", F.col("own").alias("grp"))
-    n_groups = large.count()
-    pooled = sizes.where(F.col("rows") < MIN_ROWS).agg(F.sum("rows")).first()[0] or 0
-    tagged = rows.withColumn("own", own).join(F.broadcast(large) if n_groups <= MAX_BROADCAST_GROUPS else large, "own", "left")
-    tagged = tagged.withColumn("grp", F.coalesce("grp", F.lit("pooled"))).drop("own")
-    usable = tagged.where(~F.col("base_failed"))
-    if pooled < MIN_ROWS:
-        usable = usable.where(F.col("grp") != "pooled")
-
-    quartiles = usable.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q_{f}") for f in names])
-    model = checkpointed(quartiles, "quartiles")
-    far = [((F.col(f) - F.col(f"q_{f}")[1]) / F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(w))) for f, w in FEATURES.items()]
-    distance = sum((x * x for x in far[1:]), far[0] * far[0])
-    for _ in range(STEPS):
-        near = _with_model(usable, model, n_groups).select("grp", *names, distance.alias("distance"))
-        bound = near.groupBy("grp").agg(F.percentile_approx("distance", CENTRAL, 10_000).alias("bound"))
-        core = _with_model(near, checkpointed(bound, "bounds"), n_groups).where(F.col("distance") <= F.col("bound"))
-        products = [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"m_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
-        model = checkpointed(_inverted(core.groupBy("grp").agg(*[F.avg(f).alias(f"mean_{f}") for f in names], *products)), "estimates")
-        distance = _distance(F.col("center"), F.col("inverse"))
-    out = tagged.join(F.broadcast(model) if n_groups <= MAX_BROADCAST_GROUPS else model, "grp", "left").withColumn("distance", distance)
+    head = (key, *keep, lang, source)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in head], STAT_SCHEMA])
+    rows = checkpointed(map_texts(docs, statistics, schema, list(head), text), "statistics")
+    rows = rows.withColumn("grp", F.to_json(F.array(F.col(lang).cast("string"), F.col(source).cast("string"))))
+    model = estimates(rows.where(~F.col("base_failed")).select("grp", *FEATURES))
+    out = _with_model(rows, model, model.count() <= MAX_BROADCAST_GROUPS, "left").withColumn("distance", _distance(F.col("center"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
-    return out.select(key, *[c.split()[0] for c in STAT_SCHEMA.split(", ")], "distance", kept.alias("kept"))
+    return out.select(key, *keep, *[c.split()[0] for c in STAT_SCHEMA.split(", ")], "distance", kept.alias("kept"))
 
 
 def passed(docs: DataFrame, key: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` that are kept; rows with a null key, which can't be named, stay."""
-    verdicts = checkpointed(judged(docs, key, lang, source, text).select(key, "kept"), "verdicts")
-    return without(docs, verdicts.where(~F.col("kept")), key)
+    """``docs`` that are kept; rows are told apart by key, language, source and text."""
+    of = (key, lang, source, text)
+    named = docs.withColumns(dict(zip(ROW, row_hash(*of), strict=True)))
+    verdicts = checkpointed(judged(named, key, lang, source, text, ROW).select(*ROW, "kept"), "verdicts")
+    return without_rows(docs, verdicts.where(~F.col("kept")), *of)
 
 
 def op7(docs: DataFrame) -> DataFrame:

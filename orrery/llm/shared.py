@@ -1,54 +1,38 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables, and rows told apart, for the operators of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.tables import drop, new_path, shared_folder
+from orrery.tables import stored as checkpointed
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as in tests, a new folder here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
+__all__ = ["MAX_BROADCAST_KEYS", "ROW", "checkpointed", "drop", "new_path", "row_hash", "shared_folder", "sized", "without_rows"]
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/orrery/{what}-{uuid.uuid4().hex}"
+#: Keys of 8 bytes in a broadcast set; beyond, the join is a shuffled one.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
-def checkpointed(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder, and read from there."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["_orrery_path"] = path
-    return out
+def sized(small: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """``small`` with a broadcast hint if it has ``limit`` rows at most."""
+    return F.broadcast(small) if small.count() <= limit else small
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``checkpointed`` that no result needs any more."""
-    for df in tables:
-        path = df.__dict__.get("_orrery_path")
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Columns that tell rows apart.
+ROW = ("__row_1", "__row_2")
 
 
-#: Keys of 8 bytes in a broadcast set; beyond, the join is a shuffled one.
-MAX_BROADCAST_KEYS = 2_000_000
+def row_hash(*columns: str) -> list[Column]:
+    """Two 64-bit hashes of the columns' values; null is a value of its own."""
+    values = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(F.lit(k), *values) for k in range(len(ROW))]
 
 
-def sized(small: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """``small`` with a broadcast hint if it has ``limit`` rows at most."""
-    return F.broadcast(small) if small.count() <= limit else small
+def without_rows(docs: DataFrame, rejected: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` less the rows whose ``row_hash`` of ``columns`` is in ``rejected``."""
+    named = docs.withColumns(dict(zip(ROW, row_hash(*columns), strict=True)))
+    return named.join(sized(rejected.select(*ROW).distinct()), list(ROW), "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
