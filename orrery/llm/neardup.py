@@ -12,24 +12,27 @@ darts and moves none.
 
 Signatures are joined by ``BANDS`` bands of ``COORDS // BANDS`` coordinates: at a
 similarity of 0.8 a pair meets in no band with probability 6e-5. Texts that are
-equal word by word are one node from the start. In each bucket the node with the
-most companions leads and is compared with the others; rounds with other leaders follow
-for buckets that still hold several components, while they link enough. What such
-buckets hold then is joined by prefixes (``crossing``): regions are ranked by how
-rare they are, and two texts similar enough share one among the first of both, so
-no pair of different components is left out, and texts that share only what is
-common never meet. Each candidate is verified by its exact weighted Jaccard
-similarity.
-
-Components are found by label propagation over tables in the shared checkpoint
-folder. Groups are only ever counted, led by a maximum, or joined to one row per
-bucket (skewed joins that adaptive execution can split): none is gathered.
+equal word by word (by 128 bits of hash) are one node from the start. In each bucket
+the node with the most companions leads, and each node is compared with the best
+leader it has; rounds with other leaders follow for buckets that still hold several
+components, while they link enough. What such buckets hold then is joined by
+prefixes (``crossing``): regions are ranked by how rare they are, and two texts
+similar enough share one among the first of both, so no pair of different
+components is left out, and texts that share only what is common never meet. Each
+candidate is verified by its weighted Jaccard similarity, over 32 bits of hash of
+each region.
+
+A round compares one pair per node at most, whatever the size of its groups, and
+its links are contracted at once: the next round sees components. All tables of a
+round stay in the shared checkpoint folder. Groups are only ever counted, led by a
+maximum, or joined to one row per bucket (skewed joins that adaptive execution can
+split): none is gathered.
 
 Edge cases: texts of under ``SHINGLE`` words are one shingle; texts without words
 (null, empty, signs only) and rows with a null key form no groups: class_id is
-their own key. Repeated rows come back as often as they came, in one class; an
-empty table gives no rows; other columns are not read. Class ids are the least key
-of a class.
+their own key. Repeated rows come back as often as they came, in one class; of a key
+with several texts each text has its own class; an empty table gives no rows; other
+columns are not read. Class ids are the least key of a class.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import checkpointed, drop, sized, without
+from orrery.llm.shared import ROW, checkpointed, drop, row_hash, sized, without_rows
 from orrery.llm.text import BASE, alnum_table, code_points, map_texts, mix, span_hashes, spans
 
 SHINGLE = 5
@@ -52,14 +55,17 @@ BANDS = 32
 FRUITFUL = 0.1
 #: Counters of regions, by hash; sizes of texts that meet in prefixes are told apart by this ratio.
 COUNTERS = 1 << 22
-STEP = 1.05
+STEP = 1.1
 #: Darts to throw so that each coordinate gets one, but for about exp(-2) of the texts' misses.
 DARTS = COORDS * (log(COORDS) + 2)
+#: Nodes (16 bytes of hash, a key and a number) that a broadcast may hold.
+MAX_BROADCAST_NODES = 500_000
+SECOND = np.uint64(0x2545F4914F6CDD1D)
 POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(18)])
 
 
 def regions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash) of each unit region, and each text's hash of all its words (0: none).
+    """(text number, hash) of each unit region, and each text's two hashes of all its words (0: none).
 
     A region is a shingle and how often it occurred before in the text, so the
     weighted Jaccard similarity is that of the sets of regions.
@@ -70,13 +76,14 @@ def regions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = (np.searchsorted(begins, at, side="right") - 1).astype(np.int64)
     n = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(n)])
-    whole = np.zeros(len(texts), np.uint64)
+    whole = np.zeros((len(texts), 2), np.uint64)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), whole
     place = np.arange(len(words)) - first[owner]
     has = n > 0
     keyed = mix(words + mix(place.astype(np.uint64) * BASE))
-    whole[has] = mix(np.add.reduceat(keyed, first[:-1][has]) ^ n[has].astype(np.uint64)) | np.uint64(1)
+    for k, h in enumerate((keyed, mix(keyed ^ SECOND))):
+        whole[has, k] = mix(np.add.reduceat(h, first[:-1][has]) ^ n[has].astype(np.uint64)) | np.uint64(1)
     size = np.minimum(SHINGLE, n[owner])
     is_start = place <= n[owner] - size
     starts = np.flatnonzero(is_start)
@@ -139,49 +146,53 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(h + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, whole (hash of all words) and the buckets of each text with words."""
+def scanned(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``keep``, whole (128 bits of hash of all words) and the buckets of each text with words."""
 
     def scan(cols, texts):
         whose, region, whole = regions(texts)
-        has = np.flatnonzero(whole)
+        has = np.flatnonzero(whole[:, 0])
         keys = band_keys(signatures(whose, region, len(texts))[has])
-        ids = [cols[key][i] for i in has]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        return {key: ids, "whole": whole[has].view(np.int64), "buckets": lists}
+        return {**{c: [v[i] for i in has] for c, v in cols.items()}, "whole": [whole[i].tobytes() for i in has], "buckets": lists}
 
-    return map_texts(docs.where(F.col(key).isNotNull()), scan, f"`{key}` {dict(docs.dtypes)[key]}, whole long, buckets array<long>", [key], text)
+    kinds = dict(docs.dtypes)
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep))
+    return map_texts(docs.where(F.col(key).isNotNull()), scan, f"{head}, whole binary, buckets array<long>", [key, *keep], text)
 
 
 def cell_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node, cells (its distinct regions by 32 bits of hash) of the texts whose keys are in ``wanted``."""
+    """node, cells (its distinct regions by 32 bits of hash) of ``wanted`` (node, key, whole)."""
 
     def cells(cols, texts):
-        whose, region, _ = regions(texts)
+        whose, region, whole = regions(texts)
+        own = np.array([w.tobytes() == x for w, x in zip(whole, cols["whole"], strict=True)], bool)
         both = np.unique((whose.astype(np.uint64) << np.uint64(32)) | (region >> np.uint64(32)))
-        ends = np.concatenate([[0], np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts)))]).astype(np.int32)
-        return {"node": cols[key], "cells": pa.ListArray.from_arrays(pa.array(ends), pa.array(both.astype(np.uint32).view(np.int32)))}
-
-    rows = docs.select(key, text).join(sized(wanted), key, "left_semi")
-    kind = dict(docs.dtypes)[key]
-    found = map_texts(rows, cells, f"node {kind}, cells array<int>", [key], text)
-    # a repeated key has one node's text: any of its rows that agrees with the node does
-    return checkpointed(found.dropDuplicates(["node"]) if _repeats(docs, key) else found, "cells")
-
-
-def compared(docs: DataFrame, pairs: DataFrame, key: str, text: str, sets: DataFrame | None = None) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose exact similarity is at least SIMILAR."""
-    made = []
-    if sets is None:
-        wanted = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "wanted")
-        sets = cell_sets(docs, wanted, key, text)
-        made = [wanted, sets]
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
+        both = both[own[(both >> np.uint64(32)).astype(np.int64)]]
+        n = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts))[own]
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return {"node": [x for x, o in zip(cols["node"], own, strict=True) if o], "cells": pa.ListArray.from_arrays(pa.array(ends), pa.array(both.astype(np.uint32).view(np.int32)))}
+
+    rows = docs.select(key, text).join(sized(wanted, MAX_BROADCAST_NODES), key)
+    found = checkpointed(map_texts(rows, cells, "node long, cells array<int>", ["node", "whole"], text), "cells")
+    if found.count() == wanted.count():
+        return found
+    # repeated rows: any of them will do
+    once = checkpointed(found.dropDuplicates(["node"]), "cells")
+    drop(found)
+    return once
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose similarity is at least SIMILAR."""
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    known = sets.join(sized(ends), "node", "left_semi")
+    one = pairs.join(known.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
+    both = one.join(known.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
     shared = F.size(F.array_intersect("cells_a", "cells_b"))
     total = F.size("cells_a") + F.size("cells_b") - shared
     out = checkpointed(both.where(shared >= SIMILAR * total).select("a", "b"), "links")
-    drop(*made)
+    drop(ends)
     return out
 
 
@@ -198,8 +209,8 @@ def prefix_rows(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     """(bucket, place, side) of one set: the cells by which a similar set of each size class meets it.
 
     Two sets that share k of their elements share one among the first n - k + 1 of
-    both, in any order; here the rarest come first. Side 0 meets side 1. Cells that
-    occur once among all sets are left out.
+    both, in any order; here the rarest come first. Side 0 meets side 1. Cells of one
+    component alone (no ``counts``) come before all others and are left out.
     """
     n = len(cells)
     rarity = counts[cells.view(np.uint32) % COUNTERS]
@@ -210,23 +221,30 @@ def prefix_rows(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     out = []
     for other in range(int(size_class(low)), int(size_class(high)) + 1):
         length = n - int(least_shared(n, max(low, int(STEP**other - 1e-6)))) + 1
-        place = np.flatnonzero(rarity[: max(0, length)] > 1)
-        bucket = mix(h[place] + np.uint64(min(own, other) * 65_537 + max(own, other) + 1) * BASE)
+        place = np.flatnonzero(rarity[: max(0, length)])
+        bucket = mix(h[place] + np.uint64((min(own, other) * 65_537 + max(own, other) + 1) * int(BASE) & (1 << 64) - 1))
         out += [(bucket, place, np.full(len(place), side)) for side in (0, 1) if (other >= own, other <= own)[side]]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b) of different labels that may be similar: no similar pair is left out."""
-    kind = dict(sets.dtypes)["node"]
+    known = sets.join(labels, "node").select("node", "label", "cells")
 
     def count(batches):
         for batch in batches:
-            slot, n = np.unique(batch.column(0).flatten().to_numpy().view(np.uint32) % COUNTERS, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
-
-    # a table of fixed size, whatever the input
-    found = sets.select("cells").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+            cells = batch.column(2)
+            each = np.repeat(batch.column(1).to_numpy(), np.diff(cells.offsets.to_numpy()))
+            slots = cells.flatten().to_numpy().view(np.uint32) % COUNTERS
+            order = np.argsort(slots, kind="stable")
+            slot, head, n = np.unique(slots[order], return_index=True, return_counts=True)
+            if len(slot):
+                low, high = (f.reduceat(each[order], head) for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n), pa.array(low), pa.array(high)], names=["slot", "n", "low", "high"])
+
+    # a table of fixed size, whatever the input; slots of one label's cells alone join nothing, and count as 0
+    found = known.mapInArrow(count, "slot int, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.where("low != high").select("slot", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int32)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(counts)
@@ -242,8 +260,7 @@ def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
                 own = [c.take(pa.array(each)) for c in part.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(bucket.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(side.astype(np.int32))], names=["node", "label", "bucket", "place", "n", "side"])
 
-    known = sets.join(labels, "node").select("node", "label", "cells")
-    met = checkpointed(known.mapInArrow(rows, f"node {kind}, label {kind}, bucket long, place int, n int, side int"), "prefixes")
+    met = checkpointed(known.mapInArrow(rows, "node long, label long, bucket long, place int, n int, side int"), "prefixes")
     # pairs of labels first, so that a large component's texts don't meet each other
     ends = [met.where(F.col("side") == s).select("bucket", F.col("label").alias(f"label_{s}")).distinct() for s in (0, 1)]
     meetings = checkpointed(ends[0].join(ends[1], "bucket").where("label_0 != label_1"), "meetings")
@@ -256,94 +273,118 @@ def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _repeats(docs: DataFrame, key: str) -> bool:
-    return bool(docs.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).limit(1).count())
+def contracted(links: DataFrame) -> DataFrame:
+    """(node, label) of all ends of ``links`` (u, v): one label for each component.
 
+    Every node hooks to its least neighbour, chains are halved until each node knows
+    its root, and the links between roots are what is left: at most half of the nodes,
+    so the tables shrink from turn to turn.
+    """
+    found = None
+    links = checkpointed(links.where("u != v").distinct(), "links")
+    while links.limit(1).count():
+        both = links.union(links.select("v", "u"))
+        hooked = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels")
+        while True:
+            on = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            step = checkpointed(hooked.join(on, "label").select("node", F.col("label").alias("old"), F.col("root").alias("label")), "labels")
+            moved = step.where("old != label").limit(1).count()
+            drop(hooked)
+            hooked = step
+            if not moved:
+                break
+        hooked = hooked.select("node", "label")
+        ends = links
+        for end in ("u", "v"):
+            ends = ends.join(hooked.select(F.col("node").alias(end), F.col("label").alias(f"{end}2")), end)
+        rest = checkpointed(ends.select(F.col("u2").alias("u"), F.col("v2").alias("v")).where("u != v").distinct(), "links")
+        drop(links)
+        links = rest
+        found = hooked if found is None else checkpointed(relabelled(found, hooked), "labels")
+    return links.selectExpr("u as node", "v as label") if found is None else found
+
+
+def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with each label's own label in ``roots``, where it has one."""
+    return labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``links`` (a, b) connect made one."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+    out = checkpointed(relabelled(labels, contracted(links.select(F.col("label_a").alias("u"), F.col("label_b").alias("v")))), "labels")
+    drop(labels)
+    return out
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node that ``links`` (a, b) connect it with."""
-    both = checkpointed(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node"), "labels")
-    while True:
-        sent = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        # jump: a label is a node too, whose own label may be lower by now
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = checkpointed(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        changed = step.where(F.col("old") != F.col("label")).limit(1).count()
-        drop(labels)
-        labels = step
-        if not changed:
-            drop(both)
-            return labels.select("node", "label")
 
+def partners(entry: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): each node with one leader of its buckets that is of another component, one pair per node at most.
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (least key of the class) of every row."""
-    scan = checkpointed(scanned(docs, key, text), "signatures")
-    nodes = checkpointed(scan.groupBy("whole").agg(F.min(key).alias("node")), "nodes")
-    # one signature per node: that of the row that gave the node its key
-    own = scan.join(nodes, "whole").where(F.col(key) == F.col("node")).select("node", F.explode("buckets").alias("bucket"))
-    own = own.distinct() if _repeats(scan, key) else own
-    entries = checkpointed(own, "entries")
+    First the node with the most companions leads a bucket, in later turns another one.
+    """
+    order = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("degree"), F.col("node"))
+    leaders = entry.groupBy("bucket").agg(F.max(order).alias("lead"), F.max_by("label", order).alias("lead_label"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    leaders = checkpointed(leaders.where("lo != hi").select("bucket", "lead", "lead_label"), "leaders")
+    met = entry.join(leaders, "bucket").where("label != lead_label").select("node", "lead")
+    if tested is not None:
+        ends = met.select("node", "lead", F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        met = ends.join(tested, ["a", "b"], "left_anti")
+    best = met.groupBy("node").agg(F.max("lead").alias("lead"))
+    out = checkpointed(best.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
+    drop(leaders)
+    return out
+
+
+def classified(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``keep``, whole, class_id (the least key) and first (the least text of that key) of rows with words."""
+    scan = checkpointed(scanned(docs, key, text, keep), "signatures")
+    # a node for each distinct text; texts that are equal have equal buckets
+    nodes = scan.groupBy("whole").agg(F.min(key).alias(key), F.first("buckets").alias("buckets"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = checkpointed(entries.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
     shared = checkpointed(entries.join(sizes, "bucket"), "shared")
     degree = checkpointed(shared.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     ranked = checkpointed(shared.join(degree, "node").select("bucket", "node", "degree"), "ranked")
-    drop(entries, sizes, shared, degree)
+    drop(sizes, shared)
 
-    links = tested = label = None
-    turn = 0
+    labels = checkpointed(degree.select("node", F.col("node").alias("label")), "labels")
+    sets = cell_sets(docs, nodes.join(degree, "node", "left_semi").select("node", key, "whole"), key, text)
+    tested, turn = None, 0
     while True:
-        entry = ranked if label is None else labelled(ranked, label)
-        order = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", "bucket", F.lit(turn)), F.col("node"))
-        lead = [F.max(order).alias("lead")] + ([] if label is None else [F.max_by("label", order).alias("lead_label"), F.min("label").alias("lo"), F.max("label").alias("hi")])
-        leaders = entry.groupBy("bucket").agg(*lead)
-        if label is not None:
-            leaders = leaders.where(F.col("lo") != F.col("hi"))
-        leaders = checkpointed(leaders.select("bucket", F.col("lead.node").alias("a"), *([] if label is None else ["lead_label"])), "leaders")
-        met = entry.join(leaders, "bucket").where(F.col("a") != F.col("node"))
-        if label is not None:
-            met = met.where(F.col("label") != F.col("lead_label"))
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs, "pairs")
-        n_tested = pairs.count()
-        n_found = 0
-        if n_tested:
-            found = compared(docs, pairs, key, text)
-            n_found = found.count()
-            tested = pairs if tested is None else tested.union(pairs)
+        entry = checkpointed(ranked.join(labels, "node"), "entries")
+        pairs = partners(entry, tested, turn)
+        drop(entry)
+        n_pairs = pairs.count()
+        found = compared(pairs, sets) if n_pairs else pairs
+        n_found = found.count()
         if n_found:
-            links = found if links is None else checkpointed(links.union(found), "links")
-            label = components(links)
-        if n_found <= FRUITFUL * n_tested:
+            labels = merged(labels, found)
+        if not n_pairs or n_found <= FRUITFUL * n_pairs:
             break
+        tested = pairs if tested is None else tested.union(pairs)
         turn += 1
-    if tested is not None:
-        # the rest at once: all that buckets of several components hold
-        entry = labelled(ranked, label)
-        split = entry.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        left = checkpointed(entry.join(split, "bucket", "left_semi").select("node", "label").distinct(), "left")
-        sets = cell_sets(docs, left.select(F.col("node").alias(key)), key, text)
-        found = compared(docs, crossing(sets, left).join(tested, ["a", "b"], "left_anti"), key, text, sets)
+    # the rest at once: all that buckets of several components hold
+    entry = checkpointed(ranked.join(labels, "node"), "entries")
+    split = entry.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    left = checkpointed(entry.join(split, "bucket", "left_semi").select("node", "label").distinct(), "left")
+    if left.limit(1).count():
+        found = compared(crossing(sets, left), sets)
         if found.limit(1).count():
-            links = found if links is None else checkpointed(links.union(found), "links")
-            label = components(links)
-        drop(sets)
-    named = nodes if label is None else nodes.join(label, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
-    named = checkpointed(named.select("whole", F.col("node").alias("class_id")), "classes")
-    grouped = scan.select(key, "whole").join(named, "whole").select(key, "class_id")
-    rest = without_words(docs, key, text).select(key, F.col(key).alias("class_id"))
-    return grouped.union(rest)
+            labels = merged(labels, found)
+    drop(entry, left, sets, ranked)
+    named = nodes.select("node", key, "whole").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = checkpointed(named, "named")
+    least = named.groupBy("label").agg(F.min(F.struct(key, "whole")).alias("least"))
+    named = checkpointed(named.join(least, "label").select("whole", F.col(f"least.{key}").alias("class_id"), F.col("least.whole").alias("first")), "classes")
+    return scan.drop("buckets").join(named, "whole")
 
 
-def labelled(ranked: DataFrame, label: DataFrame | None) -> DataFrame:
-    """``ranked`` with each node's component."""
-    if label is None:
-        return ranked.withColumn("label", F.col("node"))
-    return checkpointed(ranked.join(label, "node", "left").select("bucket", "node", "degree", F.coalesce("label", "node").alias("label")), "labelled")
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id (least key of the class) of every row."""
+    rest = without_words(docs, key, text).select(key, F.col(key).alias("class_id"))
+    return classified(docs, key, text).select(key, "class_id").union(rest)
 
 
 def without_words(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -358,14 +399,25 @@ def without_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that of the least key."""
-    found = checkpointed(classes(docs, key, text), "classes")
-    kept = without(docs, found.where(F.col(key) != F.col("class_id")), key)
-    if not _repeats(docs, key):
+    """``docs`` with one row of each class: one of the class's least key and, where that has several texts, the least of those.
+
+    Rows are told apart by key and text, so different texts of one key stand for themselves.
+    """
+    named = docs.withColumns(dict(zip(ROW, row_hash(key, text), strict=True)))
+    found = checkpointed(classified(named, key, text, ROW), "classes")
+    first = (F.col(key) == F.col("class_id")) & (F.col("whole") == F.col("first"))
+    kept = without_rows(docs, found.where(~first), key, text)
+    # of rows that agree in key and words, one of the least form
+    again = found.where(first).groupBy("first").agg(F.count("*").alias("n"), F.min(F.struct(*ROW)).alias("row")).where("n > 1")
+    again = checkpointed(again, "repeated")
+    if not again.limit(1).count():
         return kept
-    twice = kept.groupBy(key).count().where(F.col("count") > 1).select(key)
-    first = kept.join(sized(twice), key, "left_semi").groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")).select("r.*")
-    return without(kept, twice, key).unionByName(first.select(docs.columns))
+    twice = found.where(first).join(sized(again.select("first")), "first", "left_semi").select(*ROW)
+    tagged = kept.withColumns(dict(zip(ROW, row_hash(key, text), strict=True)))
+    one = tagged.join(sized(again.select("row.*")), list(ROW), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = one.groupBy(*ROW).agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    return without_rows(kept, twice, key, text).unionByName(one)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -33,8 +33,3 @@ def without_rows(docs: DataFrame, rejected: DataFrame, *columns: str) -> DataFra
     """``docs`` less the rows whose ``row_hash`` of ``columns`` is in ``rejected``."""
     named = docs.withColumns(dict(zip(ROW, row_hash(*columns), strict=True)))
     return named.join(sized(rejected.select(*ROW).distinct()), list(ROW), "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
-
-
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` whose key is not in ``ids``; rows with a null key stay."""
-    return docs.join(sized(ids.select(key).distinct()), key, "left_anti").select(docs.columns)
