@@ -5,14 +5,19 @@ cut, so equal passages are cut alike wherever they stand. Each distinct chunk is
 encoded once and kept, ``CACHE_CHUNKS`` at most per Python worker, which Spark
 reuses for many tasks; a text's ids are those of its chunks in a row. A new chunk
 is made of words in the same way: each distinct word is encoded once and kept,
-``CACHE_WORDS`` at most, by its 64-bit hash.
-
-A join is exact where no token and no normalisation can reach over it: the right
-side begins with a space or line end and the left side ends with no white space
-(words also part at stops). Long runs without one are cut
-by the rolling hash alone, and such joins are repaired: both sides are re-encoded
-as one, growing until both ends are exact joins, so that the ids always agree
-with those of the whole text.
+``CACHE_WORDS`` about, found by a hash and compared letter by letter.
+
+Some joins are exact as they stand, because no token and no normalisation can reach
+over them: the right side begins with a space or line end and the left side ends
+with no white space (words also part at stops). A run without such a place that is
+longer than ``LONGEST`` is cut within words, where ``WINDOW`` plain letters stand on both
+sides, and these joins are repaired: a window around the join is encoded anew and
+doubled until a token on its left stands in the left chunk's ids too, at the same
+place, and one on its right in the right chunk's. Ids of a word are right exactly if
+every two neighbours are (merges are taken by rank, so a neighbour pair that ever
+stands in ids of any word is never merged), and after such a repair every pair of
+neighbours stands in the left chunk, the window or the right one. Where no tokens
+agree, the window grows to both chunks, which settles it.
 
 Edge cases: a null text is empty and has no ids; special tokens that stand in a
 text are treated as the library does; repeated rows come back as often as they
@@ -35,7 +40,7 @@ from orrery.llm.text import code_points, map_texts, span_hashes
 WINDOW = 8
 #: One in so many exact joins cuts; about 6 times as many characters to a chunk.
 CUT_ONE_IN = 64
-#: Runs without a cut that are longer than this are cut anywhere, and repaired.
+#: Runs without an exact join that are longer than this are cut within words, half as far apart at least, and repaired.
 LONGEST = 4096
 CACHE_CHUNKS = 10_000
 CACHE_WORDS = 800_000
@@ -45,62 +50,96 @@ LONG_WORD = 64
 TOGETHER = 500
 STOPS = np.array([ord(c) for c in ".,;:!?"], np.uint32)
 BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+#: So many tokens behind a join are at hand for the next one.
+KEPT_BACK = 1 << 12
+#: Rows of id, begin and end.
+Tokens = np.ndarray
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
 class WordTable:
-    """Ids by 64-bit hash of a word, in flat arrays: open addressing, then a pool of ids."""
+    """Words with their ids in flat arrays, by a 64-bit hash: open addressing, at most half full.
+
+    A word is held only if its letters are those of the hash's row, so a clash of hashes
+    makes a word unknown, and never another's ids.
+    """
 
-    BITS = 21
+    BITS = 18
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.row = np.zeros(1 << self.BITS, np.int32)
-        self.edges = np.zeros(1 << 16, np.int64)  # begin of each row's ids in the pool, and the end
-        self.pool = np.zeros(1 << 18, np.uint32)
+        self.bits = self.BITS
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.row = np.zeros(1 << self.bits, np.int32)
+        #: ids, and letters, of all rows end to end, with each row's begin and the end.
+        self.pools = [np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint32)]
+        self.edges = [np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)]
+        self.hashes = np.zeros(1 << 16, np.uint64)
         self.n = 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash, or -1."""
+    def find(self, h: np.ndarray, cp: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Row of each word, -1 if its hash is new, -2 if the hash is another word's."""
         out = np.full(len(h), -1, np.int64)
-        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
             key = self.keys[slot]
             hit = key == h[todo]
             out[todo[hit]] = self.row[slot[hit]]
             on = ~hit & (key != 0)
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        known = np.flatnonzero(out >= 0)
+        if len(known):
+            row, n = out[known], (end - at)[known]
+            begin = self.edges[1][row]
+            same = self.edges[1][row + 1] - begin == n
+            out[known[~same]] = -2
+            known, begin, n = known[same], begin[same], n[same]
+        if len(known):
+            first = np.cumsum(n) - n
+            inside = np.arange(n.sum())
+            equal = self.pools[1][inside + np.repeat(begin - first, n)] == cp[inside + np.repeat(at[known] - first, n)]
+            out[known[~np.logical_and.reduceat(equal, first)]] = -2
         return out
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """Hold ids of new, distinct hashes."""
-        data = np.frombuffer(b"".join(ids), "<u4")
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-        used = int(self.edges[self.n])
-        if used + len(data) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(data)), np.uint32)])
-        if self.n + len(h) + 1 > len(self.edges):
-            self.edges = np.concatenate([self.edges, np.zeros(max(len(self.edges), len(h)), np.int64)])
-        self.pool[used : used + len(data)] = data
-        self.edges[self.n + 1 : self.n + 1 + len(h)] = used + ends
-        slot, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+    def _append(self, k: int, data: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.edges[k][self.n])
+        if used + len(data) > len(self.pools[k]):
+            self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(self.pools[k]), len(data)), np.uint32)])
+        if self.n + len(sizes) + 1 > len(self.edges[k]):
+            self.edges[k] = np.concatenate([self.edges[k], np.zeros(max(len(self.edges[k]), len(sizes)), np.int64)])
+        self.pools[k][used : used + len(data)] = data
+        self.edges[k][self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+
+    def add(self, h: np.ndarray, ids: list[bytes], words: list[str]) -> None:
+        """Hold ids of words with new, distinct hashes."""
+        self._append(0, np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        self._append(1, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, words), np.int64, len(words)))
+        total = self.n + len(h)
+        if total > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.hashes), len(h)), np.uint64)])
+        self.hashes[self.n : total] = h
+        first, self.n = self.n, total
+        if 2 * total > len(self.keys):
+            self.bits = max(self.bits + 1, int(4 * total - 1).bit_length() - 1)
+            self.keys, self.row, first = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+        h = self.hashes[first:total]
+        slot, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[todo[free]]
             placed = free & (self.keys[slot] == h[todo])
-            self.row[slot[placed]] = self.n + todo[placed]
-            todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.BITS) - 1)
-        self.n += len(h)
+            self.row[slot[placed]] = first + todo[placed]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows laid end to end, and how many each has."""
-        size = self.edges[rows + 1] - self.edges[rows]
-        place = np.repeat(self.edges[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.pool[place], size
+        begin = self.edges[0][rows]
+        size = self.edges[0][rows + 1] - begin
+        place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.pools[0][place], size
 
 
 def word_cuts(cp: np.ndarray) -> np.ndarray:
@@ -140,6 +179,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunks: dict[str, bytes] = {}
+        self.runs: dict[str, Tokens] = {}
         self.words = WordTable()
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -155,6 +195,53 @@ class ChunkEncoder:
         """Ids of each piece, encoded on its own."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't held."""
+        first = iter(self.plain([w for w in words if len(w) <= LONGEST]))
+        return [next(first) if len(w) <= LONGEST else self.run(w) for w in words]
+
+    def tokens(self, piece: str) -> Tokens:
+        found = self.tokenizer.encode(piece, add_special_tokens=False)
+        return np.array([*zip(found.ids, *zip(*found.offsets, strict=True), strict=True)] if found.ids else np.zeros((0, 3)), np.int64)
+
+    def run(self, text: str) -> bytes:
+        """Ids of a long run: chunks that are encoded once, joined with repair."""
+        cuts, safe = run_cuts(text)
+        edges = [0, *cuts, len(text)]
+        pieces = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        missing = [x for x in dict.fromkeys(pieces) if x not in self.runs]
+        if len(self.runs) + len(missing) > CACHE_CHUNKS // 10:
+            self.runs.clear()
+        held = {x: self.runs.get(x) if x in self.runs else self.tokens(x) for x in dict.fromkeys(pieces)}
+        self.runs.update({x: held[x] for x in list(held)[: CACHE_CHUNKS // 10]})
+        before, left = [], held[pieces[0]]
+        for at, end, piece in zip(edges[1:], edges[2:], pieces[1:], strict=False):
+            left = self.repaired(text, before, left, held[piece] + np.array([0, at, at]), at, end, safe)
+            # mostly the last tokens alone change with the next join
+            before.append(left[:-KEPT_BACK])
+            left = left[-KEPT_BACK:]
+        return np.concatenate([*before, left])[:, 0].astype("<u4").tobytes()
+
+    def repaired(self, text: str, before: list[Tokens], left: Tokens, right: Tokens, at: int, end: int, safe: np.ndarray) -> Tokens:
+        """The tokens on both sides of the join at ``at``; more of the left side is taken from ``before`` if need be."""
+        reach = 4 * WINDOW
+        while True:
+            while before and at - reach < left[0, 1]:
+                left = np.concatenate([before.pop(), left])
+            low = max(0, int(safe[max(0, np.searchsorted(safe, at - reach, side="right") - 1)]))
+            high = min(end, int(safe[min(len(safe) - 1, np.searchsorted(safe, at + reach))]))
+            window = self.tokens(text[low:high]) + np.array([0, low, low])
+            begin, stop = agreement(left, window, low, at), agreement(right, window, at, high)
+            settled_left, settled_right = low == 0, high == end
+            # without a token that agrees, all of a side is taken from a window that covers it
+            if (len(begin) or settled_left) and (len(stop) or settled_right):
+                if not len(begin):
+                    before.clear()
+                i, j = (begin[-1, 0] + 1, begin[-1, 1] + 1) if len(begin) else (0, 0)
+                m, n = (stop[0, 0], stop[0, 1]) if len(stop) else (len(right), len(window))
+                return np.concatenate([left[:i], window[j:n], right[m:]])
+            reach *= 2
+
     def spaced(self, words: list[str]) -> list[bytes]:
         """As ``plain``, for words that hold no space but the first character.
 
@@ -191,19 +278,21 @@ class ChunkEncoder:
         own = ~np.isin(at, begins[1:] - 1, assume_unique=True)
         at, end = at[own], end[own]
         h = span_hashes(cp, at, end) | np.uint64(1)
-        row = self.words.find(h)
-        long = end - at > LONG_WORD
-        new, where = np.unique(h[(row < 0) & ~long], return_index=True)
+        row = self.words.find(h, cp, at, end)
+        short = end - at <= LONG_WORD
+        fresh = short & (row == -1)
         joined = "\n".join(texts)
-        if len(new):
-            if self.words.n + len(new) > CACHE_WORDS:
+        if fresh.any():
+            new, where = np.unique(h[fresh], return_index=True)
+            if self.words.n + len(new) > CACHE_WORDS:  # the table grows where one group of texts has more
                 self.words.clear()
-                new, where = np.unique(h[~long], return_index=True)
-                source = np.flatnonzero(~long)[where]
-            else:
-                source = np.flatnonzero((row < 0) & ~long)[where]
-            self.words.add(new, self.encoded([joined[a:b] for a, b in zip(at[source].tolist(), end[source].tolist(), strict=True)]))
-            row = self.words.find(h)
+                fresh = short
+                new, where = np.unique(h[fresh], return_index=True)
+            source = np.flatnonzero(fresh)[where]
+            words = [joined[a:b] for a, b in zip(at[source].tolist(), end[source].tolist(), strict=True)]
+            self.words.add(new, self.encoded(words), words)
+            row = self.words.find(h, cp, at, end)
+        long = row < 0
         size = np.zeros(len(at), np.int64)
         ids, size[~long] = self.words.ids(row[~long])
         text_of = np.searchsorted(begins, at, side="right") - 1
@@ -215,7 +304,7 @@ class ChunkEncoder:
         places = np.cumsum(size) * 4
         done = [4 * x for x in edges.tolist()]
         far = np.flatnonzero(long)
-        for i, own_ids in zip(far.tolist(), self.plain([joined[at[i] : end[i]] for i in far]), strict=True):
+        for i, own_ids in zip(far.tolist(), self.apart([joined[at[i] : end[i]] for i in far]), strict=True):
             t = int(text_of[i])
             out[t] += [data[done[t] : places[i]], own_ids]
             done[t] = int(places[i])
@@ -237,34 +326,45 @@ class ChunkEncoder:
         return [np.frombuffer(b"".join(map(of, chunks)), "<u4") for chunks in cut]
 
 
-def cut_points(cp: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where chunks begin, and whether the join there is exact."""
-    space = (cp == 32) | (cp == 10)
-    rolled = np.zeros(len(cp), np.uint32)
+def rolled(cp: np.ndarray) -> np.ndarray:
+    """A hash of the WINDOW characters before each place."""
+    h = np.zeros(len(cp), np.uint32)
     for k in range(WINDOW, 0, -1):
-        rolled[k:] = rolled[k:] * np.uint32(0x9E3779B1) + cp[:-k]
-    rolled = (rolled * np.uint32(0x85EBCA6B)) >> np.uint32(16)
-    exact = space.copy()
+        h[k:] = h[k:] * np.uint32(0x9E3779B1) + cp[:-k]
+    return (h * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+
+
+def run_cuts(text: str, longest: int | None = None) -> tuple[list[int], np.ndarray]:
+    """Where a run is cut, and all places with WINDOW plain letters on both sides, its ends among them."""
+    longest = longest or LONGEST
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    plain = ((cp >= 97) & (cp <= 122)) | ((cp >= 65) & (cp <= 90))
+    count = np.concatenate([[0], np.cumsum(plain)])
+    inner = np.arange(WINDOW, max(WINDOW, len(cp) - WINDOW))
+    inner = inner[count[inner + WINDOW] - count[inner - WINDOW] == 2 * WINDOW]
+    cuts, last = [], 0
+    for x in inner[(rolled(cp)[inner] & 255) == 7].tolist():
+        if x - last >= longest // 2:
+            cuts.append(x)
+            last = x
+    return cuts, np.concatenate([[0], inner, [len(cp)]])
+
+
+def agreement(side: Tokens, window: Tokens, low: int, high: int) -> np.ndarray:
+    """(place in ``side``, place in ``window``) of the tokens from ``low`` to ``high`` that both have."""
+    here = [np.flatnonzero((t[:, 1] >= low) & (t[:, 2] <= high) & (t[:, 2] > t[:, 1])) for t in (side, window)]
+    found = {tuple(x): i for i, x in zip(here[0].tolist(), side[here[0]].tolist(), strict=True)}
+    both = [(found[tuple(x)], j) for j, x in zip(here[1].tolist(), window[here[1]].tolist(), strict=True) if tuple(x) in found]
+    return np.array(both, np.int64).reshape(-1, 2)
+
+
+def chunks_of(texts: list[str]) -> list[list[str]]:
+    """Chunks of each text, cut where a join is exact."""
+    cp, begins = code_points(texts)
+    exact = (cp == 32) | (cp == 10)
     exact[1:] &= ~blanks(cp)[:-1]
     exact[:1] = False
-    at = np.flatnonzero(exact & (rolled % CUT_ONE_IN == 7))
-    edges = np.concatenate([[0], at, [len(cp)]])
-    forced = []
-    for i in np.flatnonzero(np.diff(edges) > longest):
-        last = edges[i]
-        for x in np.flatnonzero((rolled[last + 1 : edges[i + 1]] & 255) == 7) + last + 1:
-            if x - last >= longest // 2:  # content-defined, at least half the limit apart
-                forced.append(x)
-                last = x
-    cuts = np.union1d(at, np.array(forced, np.int64)).astype(np.int64)
-    return cuts, exact[cuts]
-
-
-def chunks_of(texts: list[str], longest: int = LONGEST) -> list[list[str]]:
-    """Chunks of each text; a join that is not exact is repaired, so that one is left out."""
-    cp, begins = code_points(texts)
-    cuts, exact = cut_points(cp, longest)
-    cuts = cuts[exact]
+    cuts = np.flatnonzero(exact & (rolled(cp) % CUT_ONE_IN == 7))
     out = []
     lo = np.searchsorted(cuts, begins[:-1], side="right")
     hi = np.searchsorted(cuts, begins[1:] - 1, side="left")
