@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text (hashed character pairs, and how words repeat)
-and its page metadata (source language and length, layout of lines, shares of
-character classes). A ridge-penalised logistic regression per view is fitted on
+Two views of a document: its text (hashed character pairs, how words repeat, layout
+of lines, shares of character classes) and its page metadata (source, language and
+stated length, as the table gives them; the text is not read for it). A ridge-penalised logistic regression per view is fitted on
 labelled rows; over ``ROUNDS`` rounds each names the rows it is surest of, among
 all unlabelled ones and in the proportion of the labels, as examples for the other
 (rows that tie at the last place come in together). Both are then
@@ -16,7 +16,8 @@ a view's surest rows begin come from histograms of fixed length, and a fit sums
 gradients and Hessians over them. Which rows were named follows from the earlier
 rounds' weights and cuts, so no state is kept by row.
 
-Edge cases: a null or empty text is scored by what is left of it; several labels of
+Edge cases: a null or empty text is scored by what is left of it; null metadata are
+values of their own; several labels of
 a key count as their mean, ties and nulls as none; with labels of one kind or
 none, every score is that kind's share (0.5 for none). Repeated rows come back as
 often as they came; an empty table gives no rows; other columns are not read.
@@ -36,8 +37,10 @@ from orrery.llm.shared import checkpointed, sized
 from orrery.llm.text import alnum_table, code_points, map_texts, mix, not_ascii_space, span_hashes, spans
 
 PAIRS = 192
-TEXT_DENSE = 6
-META = 26
+TEXT_DENSE = 23
+#: Hashed columns of the metadata view: languages, sources, steps of length.
+LANGS, SOURCES, LENGTHS = 8, 32, 12
+META = 1 + LANGS + SOURCES + LENGTHS + 3
 LABELLED = 8_000
 ROUNDS = 4
 #: Of the unlabelled rows, the share that each view labels for the other in a round.
@@ -49,8 +52,8 @@ SURE = 0.95
 SUMMED_BY = 8
 
 
-def views(texts: list[str], langs: list, lengths: list) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of the text view and of the metadata view."""
+def text_view(texts: list[str]) -> np.ndarray:
+    """Feature rows that follow from the texts alone."""
     n = len(texts)
     cp, begins = code_points(texts)
     owner = np.repeat(np.arange(n), np.diff(begins))
@@ -71,28 +74,35 @@ def views(texts: list[str], langs: list, lengths: list) -> tuple[np.ndarray, np.
     inside = owner[:-1] == owner[1:]
     counts = np.bincount(owner[:-1][inside] * PAIRS + pair[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     share = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    text = np.column_stack([
-        share, again / words, np.sqrt(echo / words), np.log1p(distinct) / np.log1p(words + 1.0), np.log1p(n_words), np.log(chars / words), n_words == 0,
-    ])
-
     symbol = np.isin(cp, SYMBOLS)
     alnum = alnum_table()[cp]
     n_lines = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, n)
     dup = np.fromiter(map(duplicate_lines, texts), np.int64, n)
-    meta = np.zeros((n, META))
-    for i, (lang, length) in enumerate(zip(langs, lengths, strict=True)):
-        meta[i, 0] = np.log1p(max(0, length or 0))
-        meta[i, 1 + sum(map(ord, lang or "")) % 8] = 1
-    shares = [per(symbol), per((cp == 33) | (cp == 63)), per((cp >= 65) & (cp <= 90)), per((cp >= 48) & (cp <= 57)), per(word & ~alnum & ~symbol), per(~word)]
-    for k, x in enumerate(shares):
-        meta[:, 9 + 2 * k] = np.sqrt(x / chars)
-        meta[:, 10 + 2 * k] = x > 0.05 * chars
-    meta[:, 21] = np.log1p(n_lines)
-    meta[:, 22] = dup / n_lines
-    meta[:, 23] = np.log1p(chars / n_lines)
-    meta[:, 24] = dup > 0.3 * n_lines
-    meta[:, 25] = chars <= 1
-    return text, meta
+    kinds = [per(symbol), per((cp == 33) | (cp == 63)), per((cp >= 65) & (cp <= 90)), per((cp >= 48) & (cp <= 57)), per(word & ~alnum & ~symbol), per(~word)]
+    kinds = [x for k in kinds for x in (np.sqrt(k / chars), k > 0.05 * chars)]
+    lines = [np.log1p(n_lines), dup / n_lines, np.log1p(chars / n_lines), dup > 0.3 * n_lines, chars <= 1]
+    return np.column_stack([
+        share, again / words, np.sqrt(echo / words), np.log1p(distinct) / np.log1p(words + 1.0), np.log1p(n_words), np.log(chars / words), n_words == 0, *kinds, *lines,
+    ])
+
+
+def metadata_view(langs: list, sources: list, lengths: list) -> np.ndarray:
+    """Feature rows that follow from a page's metadata alone."""
+    out = np.zeros((len(langs), META))
+    slot = lambda value, n: crc32(str(value).encode()) % n
+    for i, (lang, source, length) in enumerate(zip(langs, sources, lengths, strict=True)):
+        size = float(np.log1p(max(0, length or 0)))
+        out[i, 0] = size
+        for k, (value, at, n) in enumerate(((lang, 1, LANGS), (source, 1 + LANGS, SOURCES))):
+            if value is None:
+                out[i, META - 3 + k] = 1
+            else:
+                out[i, at + slot(value, n)] = 1
+        if length is None:
+            out[i, META - 1] = 1
+        else:
+            out[i, 1 + LANGS + SOURCES + min(LENGTHS - 1, int(size))] = 1
+    return out
 
 
 def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -216,7 +226,7 @@ def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray,
     """Models of both views (center, scale, weights, Platt a and b) and the prior's log odds."""
     prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
     out = {"prior": float(np.log(prior / (1 - prior))), "views": None}
-    if len(y) < 20 or not 0 < y.mean() < 1:
+    if not len(y) or not 0 < y.mean() < 1:
         return out
     fit = ~held if 0 < y[~held].mean() < 1 and held.any() and 0 < y[held].mean() < 1 else np.ones(len(y), bool)
     test = held if not fit.all() else fit
@@ -275,17 +285,17 @@ def fitted(known: DataFrame, named: DataFrame, key: str = "doc_id") -> dict:
     return cotrained(tuple(both), y, held, known.where("free"))
 
 
-def featured(docs: DataFrame, named: DataFrame, key: str, text: str, lang: str, length: str) -> DataFrame:
+def featured(docs: DataFrame, named: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", length: str = "n_chars") -> DataFrame:
     """key, free (no label, and a key), x (features as bytes) of every row."""
     kind = dict(docs.dtypes)[key]
-    marked = docs.select(key, text, lang, length).join(sized(named.select(key, F.lit(True).alias("__named"))), key, "left")
+    marked = docs.select(key, text, lang, source, length).join(sized(named.select(key, F.lit(True).alias("__named"))), key, "left")
     marked = marked.withColumn("__free", F.col("__named").isNull() & F.col(key).isNotNull())
 
     def features(cols, texts):
-        x = np.column_stack(views(texts, cols[lang], cols[length])).astype(np.float32)
+        x = np.column_stack([text_view(texts), metadata_view(cols[lang], cols[source], cols[length])]).astype(np.float32)
         return {key: cols[key], "free": cols["__free"], "x": [r.tobytes() for r in x]}
 
-    return checkpointed(map_texts(marked, features, f"`{key}` {kind}, free boolean, x binary", [key, lang, length, "__free"], text), "features")
+    return checkpointed(map_texts(marked, features, f"`{key}` {kind}, free boolean, x binary", [key, lang, source, length, "__free"], text), "features")
 
 
 def classified(known: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
@@ -302,5 +312,5 @@ def classified(known: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     named = labelled_keys(labels)
-    known = featured(docs, named, "doc_id", "text", "lang", "n_chars")
+    known = featured(docs, named)
     return classified(known, fitted(known, named))
