@@ -3,7 +3,8 @@
 The model is a matrix of log probabilities, hash buckets by languages, fitted on
 a hash sample of labelled rows (``fit_rows``, in expectation, and of each language
 its ``LEAST_ROWS`` rows of the least hashes at least, so that none is lost) and sent to
-the executors as a broadcast of checked size (``MAX_MODEL_BYTES``). Texts are
+the executors as a broadcast of bounded size (``MAX_MODEL_BYTES``: beyond a thousand
+languages there are fewer buckets). Texts are
 scored in sparse batches: hashed n-grams pick matrix rows, which are summed per
 document. Training is a sum of counts, so any order of rows gives the same model.
 
@@ -29,14 +30,15 @@ LEAST_ROWS = 100
 MAX_MODEL_BYTES = 256 << 20
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text number of every n-gram; each text's number of letters."""
     low = [t.lower() for t in texts]
     cp, begins = code_points(low)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(begins))
     cp = np.where(letter_table()[cp], cp, np.uint32(32))
-    keep = np.ones(len(cp), bool)
-    keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
+    # each text by itself: words, with one space behind each
+    keep = cp != 32
+    keep[1:] |= (cp[:-1] != 32) & (owner[1:] == owner[:-1])
     cp, owner = cp[keep].astype(np.uint64), owner[keep]
     letters = np.bincount(owner[cp != 32], minlength=len(texts))
     found, whose = [], []
@@ -50,35 +52,42 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = owner[:m] == owner[n - 1 :]
         if n == 1:
             ok = cp != 32
-        found.append((mix(h[ok]) & np.uint64(BUCKETS - 1)).astype(np.int64))
+        found.append((mix(h[ok]) & np.uint64(buckets - 1)).astype(np.int64))
         whose.append(owner[:m][ok])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), letters
     return np.concatenate(found), np.concatenate(whose), letters
 
 
+def buckets_for(languages: int) -> int:
+    """BUCKETS, or the greatest power of two with which the model keeps to MAX_MODEL_BYTES."""
+    buckets = BUCKETS
+    while buckets > 1 and languages * buckets * 4 > MAX_MODEL_BYTES:
+        buckets //= 2
+    return buckets
+
+
 def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, matrix of BUCKETS x languages) from rows with text and label."""
+    """(languages, matrix of buckets x languages) from rows with text and label."""
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, label, text)
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
     langs = sorted(sizes)
-    if len(langs) * BUCKETS * 4 > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages make a model larger than {MAX_MODEL_BYTES} bytes")
+    buckets = buckets_for(len(langs))
     share = min(1.0, fit_rows / max(1, sum(sizes.values())))
     if share < 1:
         rows = sampled(rows, sizes, share, label, key)
     rows = rows.repartition(8)
 
     def count(cols, texts):
-        bucket, owner, _ = grams(texts)
+        bucket, owner, _ = grams(texts, buckets)
         langs, code = np.unique(np.array(cols[label], dtype=object).astype(str), return_inverse=True)
-        pair, n = np.unique(code[owner].astype(np.int64) * BUCKETS + bucket, return_counts=True)
-        return {"lang": langs[pair // BUCKETS].tolist(), "bucket": pair % BUCKETS, "n": n}
+        pair, n = np.unique(code[owner].astype(np.int64) * buckets + bucket, return_counts=True)
+        return {"lang": langs[pair // buckets].tolist(), "bucket": pair % buckets, "n": n}
 
     counts = map_texts(rows, count, "lang string, bucket long, n long", [label], text)
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
-    table = np.full((BUCKETS, len(langs)), 0.5)
+    table = np.full((buckets, len(langs)), 0.5)
     at = {x: i for i, x in enumerate(langs)}
     if len(got):
         np.add.at(table, (got["bucket"].to_numpy(np.int64), got["lang"].map(at).to_numpy(np.int64)), got["n"].to_numpy(float))
@@ -111,7 +120,7 @@ def sampled(rows: DataFrame, sizes: dict[str, int], share: float, label: str, ke
 
 def posteriors(names: list[str], table: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    bucket, owner, letters = grams(texts)
+    bucket, owner, letters = grams(texts, len(table))
     n = np.bincount(owner, minlength=len(texts))
     pred, sure = ["und"] * len(texts), np.zeros(len(texts))
     if len(bucket) and names:
