@@ -194,10 +194,10 @@ def cut(batches, block: int):
 def linked(groups):
     """Per conversation: each segment's costs at its begin and state at its end."""
     for pdf in groups:
-        rows = {"key": [], "part": [], "enter": [], "leave": [], "last": [], "after": []}
+        rows = {"key": [], "part": [], "enter": [], "leave": [], "last": []}
         for key, parts in zip(pdf["key"], pdf["parts"], strict=True):
-            parts = sorted((p["part"], p["after"]) for p in parts)
-            whole = [np.array(a[-16:]).reshape(4, 4) for _, a in parts]
+            parts = sorted((p["part"], p["whole"]) for p in parts)
+            whole = [np.array(a).reshape(4, 4) for _, a in parts]
             enter = [START]
             for m in whole:
                 enter.append(then(enter[-1], m))
@@ -206,8 +206,8 @@ def linked(groups):
             for i in range(len(parts) - 1, -1, -1):
                 leave.append(state)
                 state = int((enter[i] + whole[i][:, state]).argmin())
-            for i, (part, after) in enumerate(parts):
-                for c, v in zip(rows, (key, part, enter[i].tolist(), leave[-1 - i], i == len(parts) - 1, after), strict=True):
+            for i, (part, _) in enumerate(parts):
+                for c, v in zip(rows, (key, part, enter[i].tolist(), leave[-1 - i], i == len(parts) - 1), strict=True):
                     rows[c].append(v)
         yield type(pdf)(rows)
 
@@ -224,9 +224,12 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     # equal turns are dealt apart by the hash, so that no bound cuts through a conversation's order
     ranged = rows.repartitionByRange("key", "turn", "tie").sortWithinPartitions("key", "turn", "tie", "role", "text")
     both = checkpointed(ranged.mapInArrow(lambda batches: cut(batches, block), BLOCKS_DDL), "blocks")
-    segments = both.where("block = -1").groupBy("key").agg(F.collect_list(F.struct("part", "after")).alias("parts"))
-    links = checkpointed(segments.mapInPandas(linked, "key string, part int, enter array<long>, leave int, last boolean, after array<long>"), "segments")
-    own = both.where("block >= 0").join(links.withColumnRenamed("after", "rest"), ["key", "part"], "left")
+    segments = both.where("block = -1").select("key", "part", "after")
+    # of a segment the product of all its turns alone: 16 numbers, whatever its length
+    wholes = segments.groupBy("key").agg(F.collect_list(F.struct("part", F.slice("after", -16, 16).alias("whole"))).alias("parts"))
+    links = wholes.mapInPandas(linked, "key string, part int, enter array<long>, leave int, last boolean")
+    links = checkpointed(links.join(segments.withColumnRenamed("after", "rest"), ["key", "part"]), "segments")
+    own = both.where("block >= 0").join(links, ["key", "part"], "left")
 
     def repair(batches):
         for batch in batches:

@@ -11,7 +11,8 @@ from the parts' sizes, one row per part, when files are read.
 
 Edge cases: a null text is empty and has only the end id; rows with equal keys
 follow one another in input order, null keys come first; an empty table gives
-files without rows. Other columns are written only on request (``keep``).
+files without rows. Other columns are written only on request (``keep``); one that
+bears the name of a column written here is refused.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MAX_BROADCAST_PARTS = 100_000
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), end_id: int | None = END_ID) -> None:
     """Write ``docs`` as token files under ``path``, in ascending order of ``key``."""
+    if clash := {key, *keep} & {"part", "part_start", "n_tokens", "tokens"} or set(keep) & {key}:
+        raise ValueError(f"columns {sorted(clash)} would be written twice")
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     small_batches(docs.sparkSession)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
