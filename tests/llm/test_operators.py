@@ -227,8 +227,7 @@ def test_chunks_agree_with_whole_texts(name):
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in e.encode(texts)] == want
     assert [np.frombuffer(x, "<u4").tolist() for x in e.by_words(texts)] == want
-    joined = ["".join(c) for c in bpe.chunks_of(texts, longest=8)]
-    assert joined == texts
+    assert ["".join(c) for c in bpe.chunks_of(texts)] == texts
 
 
 def test_token_files(spark, docs, empty, rows, tmp_path):
@@ -358,11 +357,11 @@ def test_co_training_uses_all_unlabelled_rows(spark):
     for i in range(12_000):
         w = weights[i % 2] ** draw.choice([1, 3])
         text = " ".join(draw.choice(words, int(draw.integers(8, 25)), p=w / w.sum()))
-        rows.append((i, text, "en", len(text)))
-    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+        rows.append((i, text, "en", f"s{i % 2 if draw.random() < 0.9 else 2}", len(text)))
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["score"] for r in classifier.op10(many, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")).collect()}
 
-    views = [v.astype(np.float32).astype(float) for v in classifier.views([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])]
+    views = [v.astype(np.float32).astype(float) for v in (classifier.text_view([r[1] for r in rows]), classifier.metadata_view(*map(list, zip(*[r[2:] for r in rows], strict=True))))]
     y, n = np.arange(200) % 2, 200
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in range(n)])
     x = [(v - v[:n][~held].mean(axis=0)) / (v[:n][~held].std(axis=0) + 1e-3) for v in views]
