@@ -35,16 +35,18 @@ def symmetric(nodes: DataFrame, most: int = model.MOST_WORLDS) -> DataFrame:
 
     Keys of under two or over ``most`` worlds link nothing. They are dropped by a
     count before any pairing; what is left has at most most * (most - 1) / 2 pairs
-    per key, made inside its row without a second shuffle.
+    per key, made inside its row. Representatives combine before the first shuffle;
+    they are dealt by key once, for the count, its join and the pairing.
     """
     spark = nodes.sparkSession
     kinds = spark.createDataFrame(model.SYMMETRIC, "kind string, rel string, protocol string, confidence double")
-    reps = nodes.where(~S.is_noise(F.col("kind"), F.col("name"))).join(F.broadcast(kinds), "kind").groupBy("kind", "rel", "protocol", "confidence", "name", "world").agg(F.min("id").alias("id"))
-    counted = reps.groupBy("kind", "rel", "protocol", "confidence", "name").agg(F.count("*").alias("n"))
-    few = counted.where(F.col("n").between(2, most)).select("kind", "name")
-    w = reps.join(few, ["kind", "name"]).groupBy("rel", "protocol", "confidence", "name").agg(F.array_sort(F.collect_list(F.struct("world", "id"))).alias("w"))
+    linking = nodes.where(F.col("kind").isin(*[k[0] for k in model.SYMMETRIC]) & ~S.is_noise(F.col("kind"), F.col("name")))
+    reps = linking.groupBy("kind", "name", "world").agg(F.min("id").alias("id")).repartition("kind", "name")
+    few = reps.groupBy("kind", "name").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("kind", "name")
+    w = reps.join(few, ["kind", "name"], "left_semi").groupBy("kind", "name").agg(F.array_sort(F.collect_list(F.struct("world", "id"))).alias("w"))
     pairs = F.flatten(F.transform(F.col("w"), lambda a: F.transform(F.filter(F.col("w"), lambda b: b["world"] > a["world"]), lambda b: F.struct(a["id"].alias("src"), b["id"].alias("dst")))))
-    return w.select(F.explode(pairs).alias("p"), "rel", "protocol", "name", "confidence").select("p.src", "p.dst", "rel", "protocol", F.col("name").alias("contract_key"), "confidence")
+    found = w.select("kind", "name", F.explode(pairs).alias("p")).join(F.broadcast(kinds), "kind")
+    return found.select("p.src", "p.dst", "rel", "protocol", F.col("name").alias("contract_key"), "confidence")
 
 
 def resolve(nodes: DataFrame) -> DataFrame:

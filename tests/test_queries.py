@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -31,3 +34,15 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["src", "dst", "rel", "protocol", "contract_key", "confidence"]
+
+
+@pytest.mark.parametrize("left", [(), ("orrery/llm/__pycache__",)])
+def test_entry_without_the_optional_parts(tmp_path, left):
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "orrery", tmp_path / "orrery", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    for folder in left:
+        (tmp_path / folder).mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted({**e.queries(), **e.oracle_sql()}), any(q.startswith(('op', 'pipeline')) for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": ""}, capture_output=True, text=True)
+    assert out.stdout.split() == ["True", "False"], out.stderr
