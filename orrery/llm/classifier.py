@@ -5,9 +5,10 @@ of lines, shares of character classes) and its page metadata (source, language a
 stated length, as the table gives them; the text is not read for it). A ridge-penalised logistic regression per view is fitted on
 labelled rows; over ``ROUNDS`` rounds each names the rows it is surest of, among
 all unlabelled ones and in the proportion of the labels, as examples for the other
-(rows that tie at the last place come in together). Both are then
-calibrated (Platt) on labelled rows held back, and their log odds are added, less
-those of the prior counted twice. All documents are scored.
+(rows that tie at the last place come in together). How sure a view may be called is
+measured on labelled rows held back (``floors``): metadata that say little name none.
+Both are then calibrated (Platt) on the rows held back, and their log odds over the
+prior's are added with weights found there too. All documents are scored.
 
 Only labelled rows are sampled (``LABELLED`` in expectation, chosen by a hash of
 the key). The texts are read once; each document's features are written to the
@@ -47,7 +48,10 @@ ROUNDS = 4
 TAKEN = 0.05
 #: Newton steps of a fit at most.
 STEPS = 12
-SURE = 0.95
+#: A view may name rows at ranks where held rows show this share right, and odds of being right so many times the prior's.
+SURE, FACTOR = 0.95, 10.0
+#: A rank that no row has.
+NEVER = 2**31 - 1
 #: Tasks that sum up what the tasks over all rows found.
 SUMMED_BY = 8
 
@@ -151,6 +155,20 @@ def labels_given(views: list[np.ndarray], history: list) -> list[np.ndarray]:
     return given
 
 
+def floors(rank: np.ndarray, y: np.ndarray, prior: float) -> list[int]:
+    """By class the least rank from which on held rows (``rank``, ``y``) show that a view may be called sure."""
+    out = []
+    for label, share in ((0, 1 - prior), (1, prior)):
+        here = rank if label else -rank
+        order = np.argsort(-here, kind="stable")
+        here, wrong = here[order], np.cumsum(y[order] != label)
+        errors = (wrong + 1) / (np.arange(len(here)) + 3)
+        last = np.append(here[1:] != here[:-1], True)  # ranks that tie stand or fall together
+        good = here[(here > 0) & last & (errors <= min(1 - SURE, 1 / (1 + FACTOR * share / (1 - share))))]
+        out.append(int(good.min()) if len(good) else NEVER)
+    return out
+
+
 def cut(bins: dict[int, int], n: int) -> int:
     """The rank from which on at least ``n`` rows lie, or all; 1 or more."""
     left = max(1, n)
@@ -238,7 +256,9 @@ def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray,
     history: list[tuple[list, list]] = []
     for _ in range(ROUNDS if n_each else 0):
         bins = pool.histograms(weights, history)
-        history.append((weights, [[cut(bins[v][0], round(n_each * (1 - prior))), cut(bins[v][1], round(n_each * prior))] for v in range(2)]))
+        least = [floors(ranks(own[v][test], weights[v]), y[test], prior) for v in range(2)]
+        wanted = (round(n_each * (1 - prior)), round(n_each * prior))
+        history.append((weights, [[max(least[v][label], cut(bins[v][label], wanted[label])) for label in range(2)] for v in range(2)]))
         for _ in range(STEPS):
             found = [a + sums(x[fit], y[fit], w) for a, x, w in zip(pool.sums(weights, history), own, weights, strict=True)]
             weights, settled = zip(*[stepped(w, a, 1.0) for w, a in zip(weights, found, strict=True)], strict=True)
@@ -249,14 +269,21 @@ def cotrained(labelled: tuple[np.ndarray, ...], y: np.ndarray, held: np.ndarray,
         raw = own[v][test] @ weights[v][:-1] + weights[v][-1]
         a, b = logistic(raw[:, None] / 5, y[test], ridge=0.1)
         models.append((*norm[v], weights[v], max(a, 0.0) / 5, b))
-    return out | {"views": models}
+    out["views"] = models
+    over = evidence(out, *(v[test] for v in labelled))
+    return out | {"weights": np.maximum(logistic(over / 5, y[test], ridge=0.1) * np.array([0.2, 0.2, 1.0]), [0.0, 0.0, -np.inf])}
+
+
+def evidence(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Both views' calibrated log odds, less the prior's."""
+    return np.column_stack([odds(x, m) - model["prior"] for x, m in zip((text, meta), model["views"], strict=True)])
 
 
 def scores(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
     if model["views"] is None:
         total = np.full(len(text), model["prior"])
     else:
-        total = odds(text, model["views"][0]) + odds(meta, model["views"][1]) - model["prior"]
+        total = evidence(model, text, meta) @ model["weights"][:2] + model["weights"][2]
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 

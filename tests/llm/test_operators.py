@@ -371,18 +371,22 @@ def test_co_training_uses_all_unlabelled_rows(spark):
         w = [classifier.logistic(np.concatenate([x[v][:n][~held], x[v][n:][has[v]]]), np.concatenate([y[~held], given[v][has[v]]])) for v in range(2)]
         for v in range(2) if turn < 4 else ():
             z = x[v][n:] @ w[v][:-1] + w[v][-1]
+            least = classifier.floors(classifier.ranks(x[v][:n][held], w[v]), y[held], y.mean())
             for label, side in ((1, z), (0, -z)):
+                side = np.where(classifier.ranks(x[v][n:], w[v]) * (2 * label - 1) >= least[label], side, 0)
                 open_ = np.flatnonzero(np.isnan(given[1 - v]) & (side >= math.log(19)))
                 share = y[:n].mean() if label else 1 - y[:n].mean()
                 best = np.sort(side[open_])[::-1][: round(590 * share)]
                 given[1 - v][open_[side[open_] >= best[-1] * (1 - 2**-12)] if len(best) else []] = label
-    total = np.zeros(len(rows))
+    prior = y.mean()
+    over = np.zeros((len(rows), 2))
     for v in range(2):
         raw = x[v] @ w[v][:-1] + w[v][-1]
         a, b = classifier.logistic(raw[:n][held][:, None] / 5, y[held], ridge=0.1)
-        total += max(a, 0.0) / 5 * raw + b
-    prior = y.mean()
-    want = 1 / (1 + np.exp(-np.clip(total - math.log(prior / (1 - prior)), -30, 30)))
+        over[:, v] = max(a, 0.0) / 5 * raw + b - math.log(prior / (1 - prior))
+    both = classifier.logistic(over[:n][held] / 5, y[held], ridge=0.1)
+    total = over @ np.maximum(both[:2], 0) / 5 + both[2]
+    want = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
     assert np.abs(np.array([got[i] for i in range(len(rows))]) - want).max() < 0.01
 
 
@@ -404,3 +408,12 @@ def test_pipeline(spark, docs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in out.where("doc_id in (1, 60)").join(docs.select("doc_id", "text"), "doc_id").collect():
         assert r["ids"] == t.encode(r["text"], add_special_tokens=False).ids
+
+
+def test_a_view_names_rows_only_where_it_was_right():
+    y = np.array([1] * 90 + [0] * 10)
+    rank = np.array([*range(190, 100, -1), *[-5] * 4, *[120] * 3, 90, 80, -3])
+    # 71 rows at 120 or more hold 3 wrong ones; from 121 on all are right, but of 70 rows that shows too little for a class of nine tenths
+    assert classifier.floors(rank, y, 0.9) == [classifier.NEVER, classifier.NEVER]
+    assert classifier.floors(rank, y, 0.5) == [classifier.NEVER, 101]
+    assert classifier.floors(np.append(rank, [-9] * 20), np.append(y, [0] * 20), 0.5)[0] == 3
