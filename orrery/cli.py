@@ -12,7 +12,7 @@ from orrery.emit import graph_lines, gravity_json, gravity_report, write_tables
 from orrery.operators.resolve import resolve
 from orrery.operators.split import split_worlds
 from orrery.sources.files import Graph, build, world_name
-from orrery.tables import stored
+from orrery.tables import drop, scratch, stored
 
 
 def extracted(spark: SparkSession, repos: list[tuple[str, str]], split: bool = False) -> Graph:
@@ -37,17 +37,20 @@ def main(argv: list[str] | None = None) -> int:
         parser.print_usage(sys.stderr)
         return 2
     spark = SparkSession.builder.appName("orrery").getOrCreate()
-    try:
-        graph = extracted(spark, [(args.world or world_name(r), r) for r in args.repos], args.split)
-        if args.out:
-            write_tables(graph, args.out)
-        else:
-            sys.stdout.writelines(graph_lines(graph))
-        if args.gravity:
-            print(f"--- gravity ---\n{gravity_json(gravity_report(graph))}", file=sys.stderr)
-    except OSError as e:
-        print(e, file=sys.stderr)
-        return 1
+    with scratch() as made:
+        try:
+            graph = extracted(spark, [(args.world or world_name(r), r) for r in args.repos], args.split)
+            if args.out:
+                write_tables(graph, args.out)
+            else:
+                sys.stdout.writelines(graph_lines(graph))
+            if args.gravity:
+                print(f"--- gravity ---\n{gravity_json(gravity_report(graph))}", file=sys.stderr)
+        except OSError as e:
+            print(e, file=sys.stderr)
+            return 1
+        finally:
+            drop(*made)
     return 0
 
 

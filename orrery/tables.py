@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,25 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_orrery_path"] = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables stored within, so that they can be dropped once a result no longer reads them."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that no result needs any more."""
     for df in tables:
