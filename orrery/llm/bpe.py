@@ -73,10 +73,9 @@ class WordTable:
         self.bits = self.BITS
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.row = np.zeros(1 << self.bits, np.int32)
-        #: ids, and letters, of all rows end to end, with each row's begin and the end.
-        self.pools = [np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint32)]
+        #: ids, and letters as UTF-16 units, of all rows end to end, with each row's begin and the end.
+        self.pools = [np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint16)]
         self.edges = [np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)]
-        self.hashes = np.zeros(1 << 16, np.uint64)
         self.n = 0
 
     def find(self, h: np.ndarray, cp: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -100,38 +99,36 @@ class WordTable:
         if len(known):
             first = np.cumsum(n) - n
             inside = np.arange(n.sum())
-            equal = self.pools[1][inside + np.repeat(begin - first, n)] == cp[inside + np.repeat(at[known] - first, n)]
+            equal = self.pools[1][inside + np.repeat(begin - first, n)] == cp[inside + np.repeat(at[known] - first, n)]  # a letter beyond 16 bits equals none
             out[known[~np.logical_and.reduceat(equal, first)]] = -2
         return out
 
     def _append(self, k: int, data: np.ndarray, sizes: np.ndarray) -> None:
         used = int(self.edges[k][self.n])
         if used + len(data) > len(self.pools[k]):
-            self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(self.pools[k]), len(data)), np.uint32)])
+            self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(self.pools[k]) // 2, len(data)), self.pools[k].dtype)])
         if self.n + len(sizes) + 1 > len(self.edges[k]):
-            self.edges[k] = np.concatenate([self.edges[k], np.zeros(max(len(self.edges[k]), len(sizes)), np.int64)])
+            self.edges[k] = np.concatenate([self.edges[k], np.zeros(max(len(self.edges[k]) // 2, len(sizes) + 1), np.int64)])
         self.pools[k][used : used + len(data)] = data
         self.edges[k][self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
 
     def add(self, h: np.ndarray, ids: list[bytes], words: list[str]) -> None:
         """Hold ids of words with new, distinct hashes."""
         self._append(0, np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-        self._append(1, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, words), np.int64, len(words)))
-        total = self.n + len(h)
-        if total > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.hashes), len(h)), np.uint64)])
-        self.hashes[self.n : total] = h
-        first, self.n = self.n, total
-        if 2 * total > len(self.keys):
-            self.bits = max(self.bits + 1, int(4 * total - 1).bit_length() - 1)
-            self.keys, self.row, first = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
-        h = self.hashes[first:total]
+        self._append(1, np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), np.uint16), np.fromiter((len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words), np.int64, len(words)))
+        row = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        if 2 * self.n > len(self.keys):
+            held = self.keys != 0
+            h, row = np.concatenate([self.keys[held], h]), np.concatenate([self.row[held], row])
+            self.bits = max(self.bits + 1, int(2 * self.n - 1).bit_length())
+            self.keys, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         slot, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[todo[free]]
             placed = free & (self.keys[slot] == h[todo])
-            self.row[slot[placed]] = first + todo[placed]
+            self.row[slot[placed]] = row[todo[placed]]
             todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,10 +207,10 @@ class ChunkEncoder:
         edges = [0, *cuts, len(text)]
         pieces = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         missing = [x for x in dict.fromkeys(pieces) if x not in self.runs]
-        if len(self.runs) + len(missing) > CACHE_CHUNKS // 10:
+        if len(self.runs) + len(missing) > CACHE_CHUNKS // 100:
             self.runs.clear()
         held = {x: self.runs.get(x) if x in self.runs else self.tokens(x) for x in dict.fromkeys(pieces)}
-        self.runs.update({x: held[x] for x in list(held)[: CACHE_CHUNKS // 10]})
+        self.runs.update({x: held[x] for x in list(held)[: CACHE_CHUNKS // 100]})
         before, left = [], held[pieces[0]]
         for at, end, piece in zip(edges[1:], edges[2:], pieces[1:], strict=False):
             left = self.repaired(text, before, left, held[piece] + np.array([0, at, at]), at, end, safe)

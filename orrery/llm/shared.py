@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.tables import drop, new_path, shared_folder
+from orrery.tables import drop, new_path, scratch, shared_folder
 from orrery.tables import stored as checkpointed
 
-__all__ = ["MAX_BROADCAST_KEYS", "ROW", "checkpointed", "drop", "new_path", "row_hash", "shared_folder", "sized", "without_rows"]
+__all__ = ["MAX_BROADCAST_KEYS", "ROW", "checkpointed", "drop", "new_path", "row_hash", "scratch", "shared_folder", "sized", "without_rows"]
 
 #: Keys of 8 bytes in a broadcast set; beyond, the join is a shuffled one.
 MAX_BROADCAST_KEYS = 2_000_000

@@ -27,9 +27,9 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold fewer rows, unless the session has a value of its own."""
+    """Let Arrow batches hold fewer rows, unless the session has a value of its own, be it Spark's default."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
