@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontam, langid, neardup, quality
-from orrery.llm.shared import checkpointed
+from orrery.llm.shared import checkpointed, drop, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = checkpointed(stage(spark, docs, sf_dir), name.split()[0])
+        with scratch() as made:
+            out = checkpointed(stage(spark, docs, sf_dir), name.split()[0])
+        # what a stage has stored is read no more, nor is the stage before
+        drop(docs, *[t for t in made if t is not out])
+        docs = out
     return docs
