@@ -18,9 +18,10 @@ leader it has; rounds with other leaders follow for buckets that still hold seve
 components, while they link enough. What such buckets hold then is joined by
 prefixes (``crossing``): regions are ranked by how rare they are, and two texts
 similar enough share one among the first of both, so no pair of different
-components is left out, and texts that share only what is common never meet. Each
-candidate is verified by its weighted Jaccard similarity, over 32 bits of hash of
-each region.
+components is left out, and texts that share only what is common never meet. Those
+that meet must also be near enough by sketches, which bound how many regions one of
+them alone has. Each candidate is verified by its weighted Jaccard similarity, over
+32 bits of hash of each region.
 
 A round compares one pair per node at most, whatever the size of its groups, and
 its links are contracted at once: the next round sees components. All tables of a
@@ -37,11 +38,12 @@ columns are not read. Class ids are the least key of a class.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shared import ROW, checkpointed, drop, row_hash, sized, without_rows
@@ -56,6 +58,8 @@ FRUITFUL = 0.1
 #: Counters of regions, by hash; sizes of texts that meet in prefixes are told apart by this ratio.
 COUNTERS = 1 << 22
 STEP = 1.1
+#: 64-bit words of the sketch by which sets that differ in too many elements are told apart before they meet.
+SKETCH = 8
 #: Darts to throw so that each coordinate gets one, but for about exp(-2) of the texts' misses.
 DARTS = COORDS * (log(COORDS) + 2)
 #: Nodes (16 bytes of hash, a key and a number) that a broadcast may hold.
@@ -196,11 +200,22 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def bits(pairs: list[tuple[str, str]]) -> Column:
+    """How many bits the words of each pair of columns both have, over all pairs."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseAND(F.col(b))) for a, b in pairs])
+
+
 def least_shared(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
     """How many elements sets of ``n`` and ``m`` share at least if they are similar."""
     return np.ceil(SIMILAR / (1 + SIMILAR) * (n + m) - 1e-9).astype(np.int64)
 
 
+def most_apart(n: str, m: str) -> Column:
+    """How many elements that one of them alone has similar sets of ``n`` and ``m`` have at most."""
+    both = F.col(n) + F.col(m)
+    return both - 2 * F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * both - F.lit(1e-9))
+
+
 def size_class(n: np.ndarray | int) -> np.ndarray:
     return (np.log(n) / np.log(STEP)).astype(np.int64)
 
@@ -209,7 +224,8 @@ def prefix_rows(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     """(bucket, place, side) of one set: the cells by which a similar set of each size class meets it.
 
     Two sets that share k of their elements share one among the first n - k + 1 of
-    both, in any order; here the rarest come first. Side 0 meets side 1. Cells of one
+    both, in any order; here the rarest come first. Side 0 (the smaller size class)
+    meets side 1, and sets of one size class (2) meet each other. Cells of one
     component alone (no ``counts``) come before all others and are left out.
     """
     n = len(cells)
@@ -223,12 +239,41 @@ def prefix_rows(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
         length = n - int(least_shared(n, max(low, int(STEP**other - 1e-6)))) + 1
         place = np.flatnonzero(rarity[: max(0, length)])
         bucket = mix(h[place] + np.uint64((min(own, other) * 65_537 + max(own, other) + 1) * int(BASE) & (1 << 64) - 1))
-        out += [(bucket, place, np.full(len(place), side)) for side in (0, 1) if (other >= own, other <= own)[side]]
+        out.append((bucket, place, np.full(len(place), 2 if other == own else int(other < own))))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """node, s0 ... of ``sets``: the parities of its cells, dealt to the bits by hash.
+
+    Sketches differ in the parities of the cells that one set alone has, so in as many
+    bits at most as there are such cells.
+    """
+    size = 64 * SKETCH
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                node, cells = batch.slice(i, 64).columns
+                each = np.repeat(np.arange(len(node)), np.diff(cells.offsets.to_numpy()))
+                bit = mix(cells.flatten().to_numpy().view(np.uint32).astype(np.uint64)) % np.uint64(size)
+                odd = np.bincount(each * size + bit.astype(np.int64), minlength=len(node) * size) & 1
+                words = np.packbits(odd.astype(np.uint8).reshape(len(node), size), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([node, *[pa.array(w) for w in words.T]], names=["node", *names])
+
+    names = [f"s{k}" for k in range(SKETCH)]
+    return sets.select("node", "cells").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *names)))
+
+
 def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of different labels that may be similar: no similar pair is left out."""
+    """(a, b) of different labels that may be similar: no similar pair is left out.
+
+    Sets of one bucket, label and size first meet as a group, if sizes and places allow
+    a pair of theirs to be similar and those bits of the sketch on which each group
+    agrees don't rule it out. The sets of the smaller group are then named, and those
+    of the larger one only as far as the two sketches allow, so that neither many
+    labels nor a large one make a row for each pair of a bucket.
+    """
     known = sets.join(labels, "node").select("node", "label", "cells")
 
     def count(batches):
@@ -257,19 +302,35 @@ def crossing(sets: DataFrame, labels: DataFrame) -> DataFrame:
                 each = np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made])
                 bucket, place, side = (np.concatenate(x) for x in zip(*made, strict=True))
                 n = np.array([len(x.values) for x in part.column(2)])[each]
+                # the largest set that a set can be similar to if this cell is the first that they share
+                reach = np.floor((n - place) * (1 + SIMILAR) / SIMILAR + 1e-6) - n
                 own = [c.take(pa.array(each)) for c in part.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(bucket.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(side.astype(np.int32))], names=["node", "label", "bucket", "place", "n", "side"])
-
-    met = checkpointed(known.mapInArrow(rows, "node long, label long, bucket long, place int, n int, side int"), "prefixes")
-    # pairs of labels first, so that a large component's texts don't meet each other
-    ends = [met.where(F.col("side") == s).select("bucket", F.col("label").alias(f"label_{s}")).distinct() for s in (0, 1)]
-    meetings = checkpointed(ends[0].join(ends[1], "bucket").where("label_0 != label_1"), "meetings")
-    sides = [met.where(F.col("side") == s).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "node", "place", "n")]) for s in (0, 1)]
-    both = meetings.join(sides[0], ["bucket", "label_0"]).join(sides[1], ["bucket", "label_1"])
-    rest = F.least(F.col("n_0") - F.col("place_0"), F.col("n_1") - F.col("place_1"))
-    both = both.where(rest >= F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n_0") + F.col("n_1")) - F.lit(1e-9)))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(bucket.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (n, reach, side)]], names=["node", "label", "bucket", "n", "reach", "side"])
+
+    met = checkpointed(known.mapInArrow(rows, "node long, label long, bucket long, n int, reach int, side int"), "prefixes")
+    ranges = [f(c).alias(f"{at}_{c}") for c in ("label", "side", "n", "reach") for at, f in (("least", F.min), ("most", F.max))]
+    open_ = met.groupBy("bucket").agg(*ranges).where("least_label != most_label and (most_side = 2 or least_side != most_side)")
+    open_ = checkpointed(open_.select("bucket", "least_n", "most_reach"), "buckets")
+    left = met.join(sized(open_, MAX_BROADCAST_NODES), "bucket").where("reach >= least_n and n <= most_reach").select(met.columns)
+    left = checkpointed(left.join(sketched(known), "node"), "members")
+
+    words = range(SKETCH)
+    alike = [f for k in words for f in (F.bit_and(f"s{k}").alias(f"ones{k}"), F.bit_and(F.bitwise_not(f"s{k}")).alias(f"zeros{k}"))]
+    groups = checkpointed(left.groupBy("bucket", "label", "n", "side").agg(F.max("reach").alias("reach"), F.count("*").alias("size"), *alike), "groups")
+    ends = [groups.where(F.col("side").isin(s, 2)).select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in groups.columns[1:]]) for s in (0, 1)]
+    differ = F.when(F.col("side_0") == 2, F.col("label_0") < F.col("label_1")).otherwise(F.col("label_0") != F.col("label_1"))
+    apart = bits([(f"{x}{k}_0", f"{y}{k}_1") for k in words for x, y in (("ones", "zeros"), ("zeros", "ones"))])
+    meetings = ends[0].join(ends[1], "bucket").where(differ & (F.col("n_0") <= F.col("reach_1")) & (F.col("n_1") <= F.col("reach_0")) & (apart <= most_apart("n_0", "n_1")))
+    few = F.col("size_0") <= F.col("size_1")
+    meetings = checkpointed(meetings.select("bucket", *[F.when(few, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{1 - s}")).alias(f"{c}_{s}") for s in (0, 1) for c in ("label", "n")]), "meetings")
+
+    sides = [left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in left.columns if c not in ("bucket", "side")]) for s in (0, 1)]
+    one = meetings.join(sides[0], ["bucket", "label_0", "n_0"]).where("n_1 <= reach_0")
+    both = one.join(sides[1], ["bucket", "label_1", "n_1"]).where("n_0 <= reach_1")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{k}_0").bitwiseXOR(F.col(f"s{k}_1"))) for k in words])
+    both = both.where(apart <= most_apart("n_0", "n_1"))
     out = checkpointed(both.select(F.least("node_0", "node_1").alias("a"), F.greatest("node_0", "node_1").alias("b")).distinct(), "pairs")
-    drop(met, meetings)
+    drop(met, open_, left, groups, meetings)
     return out
 
 

@@ -187,6 +187,47 @@ def test_prefix_join_leaves_out_no_similar_pair(spark):
     assert len(similar) > 20 and similar <= pairs and all(i % 50 != j % 50 for i, j in pairs)
 
 
+def crowd(n_members: int, n_others: int) -> tuple[list[set], list[int]]:
+    """Sets around one template, just below the similarity but for some: members of label 0, and others of a label each."""
+    draw = np.random.default_rng(4)
+    template = list(map(int, draw.integers(0, 1 << 30, 146)))
+    sets = []
+    for i in range(n_members + n_others):
+        begins = draw.permutation(3)[: 1 if i < n_members else 3] * 48 + int(draw.integers(0, 44))
+        gone = {template[int(b) + k] for b in begins for k in range(5)}
+        sets.append(set(template) - gone | {(1 << 30) + 100 * i + k for k in range(len(gone))})
+    return sets, [max(0, i - n_members + 1) for i in range(len(sets))]
+
+
+def test_prefix_join_in_a_crowd_makes_few_rows(spark, monkeypatch):
+    sets, of = crowd(300, 60)
+    nodes = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, cells array<int>")
+    labels = spark.createDataFrame(list(enumerate(of)), "node long, label long")
+    made, stored = {}, neardup.checkpointed
+
+    def counted(df, what):
+        out = stored(df, what)
+        made[what] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "checkpointed", counted)
+    pairs = [tuple(r) for r in neardup.crossing(nodes, labels).collect()]
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if of[i] != of[j]]
+    similar = {(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(pairs) == len(set(pairs)) and len(similar) > 500 and similar <= set(pairs) <= set(near)
+    # before, both grew with the number of pairs of the crowd
+    assert len(pairs) < 0.2 * len(near) and made["meetings"] < 0.2 * len(near)
+
+
+def test_sketches_differ_in_no_more_than_the_sets(spark):
+    sets, _ = crowd(30, 30)
+    sets += [{1}, {1, 2}, {-1, 7}]
+    nodes = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, cells array<int>")
+    got = {r[0]: sum((w % (1 << 64)) << (64 * k) for k, w in enumerate(r[1:])) for r in neardup.sketched(nodes).collect()}
+    found = [((got[i] ^ got[j]).bit_count(), len(sets[i] ^ sets[j])) for i, j in combinations(range(len(sets)), 2)]
+    assert len(got) == len(sets) and all(a <= b for a, b in found) and sum(a for a, _ in found) > 0.8 * sum(b for _, b in found)
+
+
 def test_licences(docs, empty):
     assert licences.evaluate("MIT AND (Apache-2.0 OR GPL-3.0)") == ("mit and (apache-2.0 or gpl-3.0)", ["mit", "apache-2.0", "gpl-3.0"], True)
     assert licences.evaluate("GPL-2.0 WITH Classpath OR MIT")[2] and not licences.evaluate("GPL-3.0 AND MIT")[2]
